@@ -1 +1 @@
-
+"""Column functions: text, commands and vectors."""
