@@ -1 +1 @@
-
+"""Streams of transcript lines into the store."""
