@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from threadlake.functions.text import bash_command, is_trivial_command, normalize_command
 from threadlake.functions.vector import normalize, squared_distance
+from threadlake.session import cut
 
 SHORTEST, LONGEST, GAP, LEAST_SESSIONS, SAMPLES, TOP = 2, 4, 3, 3, 5, 15
 CHOICES, SAMPLE, ROUNDS, SEED = (8, 12, 16, 24, 32), 2000, 50, 42
@@ -93,6 +94,22 @@ def _seed(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.stack(chosen)
 
 
+def _lloyd(points: np.ndarray, k: int, seed: int, rounds: int) -> Centers:
+    model = Centers(_seed(points, k, np.random.default_rng(seed)))
+    for _ in range(rounds):
+        own = model.distances(points).argmin(axis=1)
+        new = model.centers.copy()
+        for c in range(k):
+            if (own == c).any():
+                mean = points[own == c].mean(axis=0)
+                new[c] = mean / (np.linalg.norm(mean) or 1)
+        still = np.abs(new - model.centers).max() < 1e-6
+        model = Centers(new)
+        if still:
+            break
+    return model
+
+
 def _sums(vectors: DataFrame, model: Centers) -> pd.DataFrame:
     """Per centre: count and sum of its points; each task combines its own, so k rows a task come back."""
     dim = model.centers.shape[1]
@@ -117,7 +134,10 @@ def kmeans(vectors: DataFrame, k: int, seed: int = SEED, rounds: int = ROUNDS) -
 
     k is at most the number of vectors; a centre without points stays; ends when no centre moves.
     """
+    vectors = cut(vectors.select("vector"), "points")  # read once a round
     seeds = np.stack([np.asarray(r[0], np.float64) for r in sample(vectors, seed).collect()])
+    if vectors.count() <= SAMPLE:  # the sample is all there is
+        return _lloyd(seeds, min(k, len(seeds)), seed, rounds)
     model = Centers(_seed(seeds, min(k, len(seeds)), np.random.default_rng(seed)))
     for _ in range(rounds):
         got = _sums(vectors, model)
@@ -126,7 +146,7 @@ def kmeans(vectors: DataFrame, k: int, seed: int = SEED, rounds: int = ROUNDS) -
             size = np.linalg.norm(total)
             if n and size > 0:
                 new[cluster] = np.asarray(total) / size
-        still = np.allclose(new, model.centers, atol=1e-9)
+        still = np.abs(new - model.centers).max() < 1e-6
         model = Centers(new)
         if still:
             break
@@ -152,26 +172,15 @@ def pick_k(vectors: DataFrame, choices: tuple[int, ...] = CHOICES, seed: int = S
     best, score = min(choices[0], len(points)), -2.0
     for k in choices:
         if 2 <= k <= len(points):
-            rng = np.random.default_rng(seed)
-            model = Centers(_seed(points, k, rng))
-            for _ in range(ROUNDS):
-                own = model.distances(points).argmin(axis=1)
-                new = model.centers.copy()
-                for c in range(k):
-                    if (own == c).any():
-                        mean = points[own == c].mean(axis=0)
-                        new[c] = mean / (np.linalg.norm(mean) or 1)
-                if np.allclose(new, model.centers):
-                    break
-                model = Centers(new)
-            if (s := model.silhouette(points)) > score:
+            if (s := _lloyd(points, k, seed, ROUNDS).silhouette(points)) > score:
                 best, score = k, s
     return best
 
 
 def mine_skills(units: DataFrame, k: int | None = None, top: int = TOP) -> DataFrame:
     """Candidates from clusters of users' prompts: units(key, session_id, project_path, vector, text) to (cluster, sessions, projects, rank, samples)."""
-    vectors = units.withColumn("vector", normalize(F.col("vector")))
+    vectors = cut(units.withColumn("vector", normalize(F.col("vector"))), "units")
+    units = vectors
     members = assign(vectors, kmeans(vectors, k or pick_k(vectors)))
     ranked = rank_clusters(members).orderBy(F.desc("rank"), "cluster").limit(top)
     near = medoids(members, "key").join(units.select("key", "text"), "key")

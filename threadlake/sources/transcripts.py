@@ -32,6 +32,11 @@ def read_lines(spark: SparkSession, paths: str | list[str], pattern: str | None
     return lines.filter(F.trim("value") != "")
 
 
+def set_time(at: Column) -> Column:
+    """A time of year 1 or before means an unset one: null."""
+    return F.when(F.year(at) > 1, at)
+
+
 def _shape(value: Column, path: str) -> Column:
     """STRING, ARRAY<...>, OBJECT<...> or null: what stands at a path, which from_json can't tell."""
     return F.schema_of_variant(F.try_variant_get(F.try_parse_json(value), path, "variant"))
@@ -88,7 +93,7 @@ def claude(spark: SparkSession, root: str, deep: bool = True) -> tuple[DataFrame
     side = F.col("path").contains("/subagents/")
     owner = F.when(side, F.coalesce(F.nullif(F.regexp_extract("path", r"/([^/]+)/subagents/", 1), F.lit("")), F.lit(""))).otherwise(_stem(F.col("path")))
     read = lines.select("path", "mtime", "line", side.alias("side"), owner.alias("session_id"), F.from_json("value", _ENVELOPE).alias("e"), _shape(F.col("value"), "$.message.content").alias("shape"))
-    read = read.filter(F.col("e").isNotNull()).withColumn("at", F.try_to_timestamp("e.timestamp"))
+    read = read.filter(F.col("e").isNotNull()).withColumn("at", set_time(F.try_to_timestamp("e.timestamp")))
     talk = read.filter(F.col("e.type").isin("user", "assistant") & ~F.coalesce("e.isMeta", F.lit(False)))
     files = Window.partitionBy("session_id").orderBy("side", "path")
     envelopes = talk.select(
@@ -176,7 +181,7 @@ def codex(spark: SparkSession, root: str, deep: bool = True) -> tuple[DataFrame,
     meta = read.filter("type = 'session_meta'").groupBy("path").agg(F.min_by("p", "line").alias("m"))
     whole = read.join(meta, "path", "left").withColumn("session_id", F.concat(F.lit("codex:"), F.coalesce("m.id", F.regexp_extract("path", r"([^/]+)\.jsonl$", 1))))
     number = F.col("timestamp").try_cast("long")
-    at = F.coalesce(F.try_to_timestamp("timestamp"), F.when(number.isNotNull(), epoch_to_timestamp(number)), F.col("mtime") + F.make_dt_interval(secs=F.col("line")))
+    at = F.coalesce(set_time(F.try_to_timestamp("timestamp")), F.when(number.isNotNull(), epoch_to_timestamp(number)), F.col("mtime") + F.make_dt_interval(secs=F.col("line")))
     items = whole.filter("type = 'response_item'").select("session_id", "line", at.alias("timestamp"), "p")
     messages = number_blocks(codex_items(items), deep)
     facts = whole.groupBy("session_id").agg(F.min("mtime").alias("first"), F.max("mtime").alias("latest"), F.max("mtime").alias("mtime"), F.first("path").alias("file_path"), F.max("m.git.branch").alias("git_branch"), F.max("m.cwd").alias("cwd"))
