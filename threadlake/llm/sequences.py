@@ -203,7 +203,7 @@ def frequent_patterns(steps: DataFrame, shortest: int = SHORTEST, longest: int =
         if here:
             kept = [s for s in counts if len(s) >= shortest]
             patterns = compare([list(s) for s in kept], [counts[s] for s in kept], max(1, math.ceil(round(rate * here, 9))), longest)
-            yield pd.DataFrame({"pattern": [list(p) for p in patterns if len(p) >= shortest]})
+            yield pd.DataFrame({"pattern": pd.Series([list(p) for p in patterns if len(p) >= shortest], dtype=object)})
 
     dealt = cut(sequences.select("steps").repartition(blocks), "dealt")
     laid = dealt.coalesce(blocks)
@@ -214,7 +214,7 @@ def frequent_patterns(steps: DataFrame, shortest: int = SHORTEST, longest: int =
         for seq, n in coded(batches).items():
             for p in holds(list(seq), trie):
                 held[p] = held.get(p, 0) + n
-        yield pd.DataFrame({"pattern": [list(p) for p in held], "support": list(held.values())}, columns=["pattern", "support"])
+        yield pd.DataFrame({"pattern": pd.Series([list(p) for p in held], dtype=object), "support": pd.Series(list(held.values()), dtype="int64")})
 
     supports = laid.mapInPandas(count, "pattern array<int>, support long").groupBy("pattern").agg(F.sum("support").alias("support")).filter(F.col("support") >= threshold)
     array = F.array(*(F.lit(n) for n in names))
