@@ -171,7 +171,7 @@ def search(messages: DataFrame, sessions: DataFrame, query: str, limit: int = DE
         return messages.limit(0).join(side, "session_id").withColumn("score", F.lit(0.0))
     scored = score_matches(messages, query, fuzzy, where=where)
     hits = best_per(scored, "session_id", [key], limit, pool)
-    return hits.join(side, "session_id", "inner")
+    return hits.join(side, "session_id", "inner").orderBy("score", key)
 
 
 def index_tokens(messages: DataFrame, keys: list[str]) -> DataFrame:
