@@ -127,6 +127,30 @@ def test_hot_buckets_and_no_vectors(spark, monkeypatch):
     assert vectors.similar_vectors(df.limit(0)).count() == 0
 
 
+def rows_of(spark, x):
+    return spark.createDataFrame([("m", i, [float(v) for v in r]) for i, r in enumerate(x)], "model string, rowid long, vector array<float>")
+
+
+def planted_pairs(n, dim, cosine, seed=11):
+    """Rows 2i and 2i + 1 have the cosine."""
+    rng = np.random.default_rng(seed)
+    a, e = rng.normal(size=(n, dim)), rng.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    e -= (e * a).sum(axis=1, keepdims=True) * a
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    return np.stack([a, cosine * a + np.sqrt(1 - cosine**2) * e], axis=1).reshape(2 * n, dim)
+
+
+@pytest.mark.parametrize("rows", [78_000, 5_000_000])
+def test_recall_at_the_least_cosine_at_any_size(spark, rows):
+    x = planted_pairs(1000, 96, 0.951)
+    groups, _ = vectors.vector_groups(rows_of(spark, x), 6)
+    groups = groups.cache()
+    number = {r["gid"]: r["heads"][0] for r in groups.collect()}
+    got = {tuple(sorted((number[r["a"]], number[r["b"]]))) for r in vectors.candidate_pairs(groups, rows, 5, 0.95).collect()}
+    assert sum((2 * i, 2 * i + 1) in got for i in range(1000)) >= 985
+
+
 def test_probes_are_distinct_and_in_order():
     found = vectors.probe_order(10, 50)
     assert len(set(found)) == 50 and found[0] == (0,) and all(19 - r not in p for p in found for r in p)

@@ -3,7 +3,7 @@
 Vectors are scaled to length 1. Each table hashes them with Gaussian (2-stable) projections cut into bins of
 one width; a search visits the own bucket and then buckets of neighbouring bins, in the order of their
 estimated success. The candidates of all tables are merged and ranked by exact cosine. Copies of one vector
-are searched once.
+are searched once. The number of tables follows from that of the vectors, so that recall is the same at any size.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql.window import Window
 
 from threadlake.session import cut, table
 
-TABLES = 6
 PROBES = 16
+RECALL = 0.995  # of pairs at the least cosine, from which the number of tables follows
 SEED = 20250101
-HOT = 4_000  # vectors in a bucket from which its hash is refined
+HOT = 4_000
 
 
 def usable_vectors(df: DataFrame) -> DataFrame:
@@ -67,27 +67,52 @@ def probe_order(width: int, probes: int) -> list[tuple[int, ...]]:
     return out
 
 
-def _hashes(x: np.ndarray, m: int, width: float, tables: int, probes: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
-    """Of each table: own bucket, probed buckets, and a finer hash for crowded buckets."""
+def bin_width(least: float) -> float:
+    return 3.2 * math.sqrt(2 - 2 * least)
+
+
+def hash_success(m: int, least: float, probes: int, pairs: int = 20_000) -> float:
+    """How often one table finds a pair at the cosine `least`, by simulating the places of pairs in their bins."""
+    rng = np.random.default_rng(SEED)
+    at = rng.uniform(0, 1, (pairs, m))
+    to = at + rng.standard_normal((pairs, m)) * math.sqrt(2 - 2 * least) / bin_width(least)
+    found, moves = np.zeros(pairs, bool), np.concatenate([-np.eye(m), np.eye(m)])
+    for p, q in ((at, to), (to, at)):
+        step, rest = np.floor(q) - np.floor(p), p - np.floor(p)
+        found |= (step == 0).all(axis=1)
+        nearest = moves[np.argsort(np.concatenate([rest, 1 - rest], axis=1), axis=1)]
+        for ranks in probe_order(m, probes):
+            found |= (nearest[:, list(ranks)].sum(axis=1) == step).all(axis=1)
+    return float(found.mean())
+
+
+def hash_shape(rows: int, least: float, probes: int = PROBES) -> tuple[int, int]:
+    """Projections of a table, so that few random vectors share a bucket, and tables, so that RECALL of the pairs at `least` are found."""
+    r = bin_width(least) / math.sqrt(2)  # of vectors at a right angle
+    meet = 1 - math.erfc(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+    m = max(8, math.ceil(math.log(10 * max(rows, 2)) / -math.log(meet)))
+    return m, max(2, math.ceil(math.log(1 - RECALL) / math.log1p(-min(hash_success(m, least, probes), 0.99))))
+
+
+def _hashes(x: np.ndarray, m: int, width: float, tables: int, probes: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Of each table: own bucket and probed buckets."""
     dim, order = x.shape[1], probe_order(m, probes)
     for t in range(tables):
         rng = np.random.default_rng((SEED, t, dim))
-        axes, shift = rng.standard_normal((dim, m + 6)), rng.uniform(0, 1, m + 6)
-        odd = rng.integers(-(2**62), 2**62, m + 6) | 1
+        axes, shift = rng.standard_normal((dim, m)), rng.uniform(0, 1, m)
+        odd = rng.integers(-(2**62), 2**62, m) | 1
         at = x @ axes / width + shift
-        fine = (np.floor(at[:, m:] * 4).astype(np.int64) * odd[m:]).sum(axis=1)
-        at = at[:, :m]
         bins = np.floor(at)
         rest = at - bins
-        own = (bins.astype(np.int64) * odd[:m]).sum(axis=1) + odd[0] * (t + 1)
-        moves = np.concatenate([-odd[:m], odd[:m]])[np.argsort(np.concatenate([rest, 1 - rest], axis=1), axis=1)]
-        yield own, [own + moves[:, list(ranks)].sum(axis=1) for ranks in order], fine
+        own = (bins.astype(np.int64) * odd).sum(axis=1) + odd[0] * (t + 1)
+        moves = np.concatenate([-odd, odd])[np.argsort(np.concatenate([rest, 1 - rest], axis=1), axis=1)]
+        yield own, [own + moves[:, list(ranks)].sum(axis=1) for ranks in order]
 
 
-def candidate_pairs(groups: DataFrame, rows: int, least: float, tables: int, probes: int) -> DataFrame:
-    """Distinct (a, b), a < b, of groups(model, gid, vector) that share a visited bucket."""
-    m = max(8, math.ceil(math.log2(max(rows, 2))))  # so that random vectors stay rare in a bucket at any size
-    width = 3.2 * math.sqrt(2 - 2 * least)
+def candidate_pairs(groups: DataFrame, rows: int, k: int, least: float, tables: int | None = None, probes: int = PROBES) -> DataFrame:
+    """Distinct (a, b), a < b, of groups(model, gid, vector, heads) that share a visited bucket."""
+    m, needed = hash_shape(rows, least, probes)
+    width, tables = bin_width(least), tables or needed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -95,19 +120,16 @@ def candidate_pairs(groups: DataFrame, rows: int, least: float, tables: int, pro
                 for batch in by_length(whole.slice(start, 2000), "vector"):
                     x, gid = matrix(batch["vector"]), batch["gid"].to_numpy()
                     seeds = np.array([hash_name(v) for v in batch["model"].to_pylist()], np.int64)
-                    for own, probed, fine in _hashes(x, m, width, tables, probes):
+                    for own, probed in _hashes(x, m, width, tables, probes):
                         n = 1 + len(probed)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.tile(gid, n)), pa.array(np.concatenate([own, *probed]) + np.tile(seeds, n)), pa.array(np.tile(fine, n)), pa.array(np.repeat(np.arange(n) == 0, len(gid)))],
-                            ["gid", "bucket", "fine", "home"],
+                            [pa.array(np.tile(gid, n)), pa.array(np.concatenate([own, *probed]) + np.tile(seeds, n)), pa.array(np.repeat(np.arange(n) == 0, len(gid)))],
+                            ["gid", "bucket", "home"],
                         )
 
-    hashed = cut(groups.select("model", "gid", "vector").mapInArrow(run, "gid long, bucket long, fine long, home boolean"), "buckets")
-    crowded = hashed.filter("home").groupBy("bucket").count().filter(F.col("count") > HOT).select("bucket", F.lit(True).alias("hot"))
-    hashed = hashed.join(F.broadcast(crowded), "bucket", "left")  # at most rows x tables / HOT of them
-    hashed = hashed.select("gid", "home", F.when(F.col("hot"), F.xxhash64("bucket", "fine")).otherwise(F.col("bucket")).alias("bucket"))
+    hashed = cut(groups.select("model", "gid", "vector").mapInArrow(run, "gid long, bucket long, home boolean"), "buckets")
     index = hashed.filter("home").select(F.col("gid").alias("b"), "bucket")
-    found = hashed.select(F.col("gid").alias("a"), "bucket").join(index, "bucket").filter("a <> b")
+    found = hashed.select(F.col("gid").alias("a"), "bucket").join(index, "bucket").filter("a <> b").select("a", "b")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -143,19 +165,23 @@ def vector_groups(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     return groups.join(heads, "gid").select("model", "gid", "vector", "heads"), members
 
 
-def similar_vectors(vectors: DataFrame, k: int = 5, least: float = 0.95, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def similar_vectors(vectors: DataFrame, k: int = 5, least: float = 0.95, tables: int | None = None, probes: int = PROBES) -> DataFrame:
     """(model, rowid, near, cosine): up to k most similar others of each vector, of those with a cosine of at least `least`.
 
     vectors(model, rowid, vector) of nonzero vectors, see usable_vectors(); vectors of different models or
     lengths are never compared. Of equal cosines the smaller rowid comes first. Every vector is indexed and
-    searched; of neighbours at the least cosine more than 0.99 are found, of nearer ones more (see tests).
-    No vectors give no rows.
+    searched; of neighbours at the least cosine RECALL are found at any number of vectors, of nearer ones more
+    (see tests). No vectors give no rows.
     """
     groups, members = vector_groups(vectors, k + 1)
     groups, members = cut(groups, "groups"), cut(members, "members")
-    pairs = candidate_pairs(groups, groups.count(), least, tables, probes)
+    pairs = candidate_pairs(groups, groups.count(), k, least, tables, probes)
     close = cut(pair_cosines(pairs, groups).filter(F.col("cosine") >= least), "close")
-    both = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    return _ranked(close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")), groups, members, k)
+
+
+def _ranked(both: DataFrame, groups: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(model, rowid, near, cosine) of the k best of both(a, b, cosine), the groups' neighbours, and of their own copies."""
     heads = groups.select(F.col("gid").alias("b"), "heads")
     # groups tied with the k-th are kept, so that ties are broken by rowid
     near = both.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("cosine")))).filter(F.col("r") <= k).join(heads, "b")
