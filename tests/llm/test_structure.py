@@ -151,6 +151,20 @@ def test_recall_at_the_least_cosine_at_any_size(spark, rows):
     assert sum((2 * i, 2 * i + 1) in got for i in range(1000)) >= 985
 
 
+def test_recall_in_hot_buckets(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "HOT", 20)
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    x = (np.eye(96)[0] + rng.normal(size=(500, 96)) * 0.015).astype(np.float32)  # all near each other
+    got = {(r["rowid"], r["near"]) for r in vectors.similar_vectors(rows_of(spark, x)).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = u @ u.T
+    np.fill_diagonal(c, -1)
+    want = {(i, j) for i in range(500) for j in np.argsort(-c[i])[:5].tolist() if c[i, j] >= 0.95}
+    assert len(want) == 2500 and len(got & want) >= 0.99 * len(want)
+
+
 def test_probes_are_distinct_and_in_order():
     found = vectors.probe_order(10, 50)
     assert len(set(found)) == 50 and found[0] == (0,) and all(19 - r not in p for p in found for r in p)

@@ -3,7 +3,8 @@
 Vectors are scaled to length 1. Each table hashes them with Gaussian (2-stable) projections cut into bins of
 one width; a search visits the own bucket and then buckets of neighbouring bins, in the order of their
 estimated success. The candidates of all tables are merged and ranked by exact cosine. Copies of one vector
-are searched once. The number of tables follows from that of the vectors, so that recall is the same at any size.
+are searched once. The number of tables follows from that of the vectors, so that recall is the same at any size;
+crowded buckets are compared exactly, block by block.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from threadlake.session import cut, table
 PROBES = 16
 RECALL = 0.995  # of pairs at the least cosine, from which the number of tables follows
 SEED = 20250101
-HOT = 4_000
+HOT = 4_000  # vectors in a bucket from which it is compared in blocks
+BLOCK = 8_000
 
 
 def usable_vectors(df: DataFrame) -> DataFrame:
@@ -109,8 +111,63 @@ def _hashes(x: np.ndarray, m: int, width: float, tables: int, probes: int) -> It
         yield own, [own + moves[:, list(ranks)].sum(axis=1) for ranks in order]
 
 
+def greatest_of_rows(c: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k greatest values of each row, of those from `least` on; of equal ones the leftmost."""
+    keep = c >= least
+    if c.shape[1] > k:
+        keep &= c >= np.partition(c, c.shape[1] - k, axis=1)[:, c.shape[1] - k, None] - 1e-9
+    row, column = np.nonzero(keep)
+    order = np.lexsort((column, -np.round(c[row, column], 9), row))
+    row, column = row[order], column[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], column[first]
+
+
+def block_best(x: np.ndarray, x_ids: np.ndarray, y: np.ndarray, y_ids: np.ndarray, k: int, least: float) -> pa.Table:
+    """(a, b, cosine): of each x the k most similar of y and of each y those of x, never itself. The rows stand in the order that breaks ties."""
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    place = {v: i for i, v in enumerate(y_ids.tolist())}
+    same = np.array([place.get(v, -1) for v in x_ids.tolist()], np.int64)
+    for start in range(0, len(x), 1000):
+        c = x[start : start + 1000] @ y.T
+        mine = np.flatnonzero(same[start : start + 1000] >= 0)
+        c[mine, same[start + mine]] = -3
+        i, j = greatest_of_rows(c, k, least)
+        parts.append((x_ids[start + i], y_ids[j], c[i, j]))
+        j, i = greatest_of_rows(np.ascontiguousarray(c.T), k, least)
+        parts.append((y_ids[j], x_ids[start + i], c[i, j]))
+    return pa.table(dict(zip(("a", "b", "cosine"), (pa.array(np.concatenate([p[n] for p in parts] or [np.zeros(0)]), t) for n, t in enumerate((pa.int64(), pa.int64(), pa.float64()))))))
+
+
+def _side(got: pa.Table, mine: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and ids of one side of a task, in the order of `first`."""
+    rows = got.filter(got["mine"] if mine else pa.compute.invert(got["mine"])).sort_by("first").combine_chunks()
+    if not rows.num_rows:
+        return np.zeros((0, 1)), np.zeros(0, np.int64)
+    return matrix(rows["vector"].combine_chunks()), rows["gid"].to_numpy()
+
+
+def _crowded_pairs(visits: DataFrame, groups: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b) of visits(gid, bucket, home): of each visitor the k most similar vectors at home in the bucket, and of those the k most similar visitors."""
+    counts = visits.groupBy("bucket").agg(F.ceil(F.count(F.when(F.col("home"), 1)) / BLOCK).alias("is"), F.ceil(F.count("*") / BLOCK).alias("js"))
+    numbered = visits.join(F.broadcast(counts), "bucket")
+    block = lambda n: F.pmod(F.xxhash64("gid"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    homes = numbered.filter("home").select("gid", "bucket", block("is").alias("i"), every("js").alias("j"), F.lit(False).alias("mine"))
+    spread = homes.unionByName(numbered.select("gid", "bucket", block("js").alias("j"), every("is").alias("i"), F.lit(True).alias("mine")))
+    held = groups.select("gid", "vector", F.col("heads")[0].alias("first"), F.size("vector").alias("length"))
+
+    def best(got: pa.Table) -> pa.Table:
+        (x, x_ids), (y, y_ids) = _side(got, True), _side(got, False)
+        if not len(x) or not len(y):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        return block_best(x, x_ids, y, y_ids, k, least).select(["a", "b"])
+
+    return spread.join(held, "gid").groupBy("bucket", "length", "i", "j").applyInArrow(best, "a long, b long")
+
+
 def candidate_pairs(groups: DataFrame, rows: int, k: int, least: float, tables: int | None = None, probes: int = PROBES) -> DataFrame:
-    """Distinct (a, b), a < b, of groups(model, gid, vector, heads) that share a visited bucket."""
+    """Distinct (a, b), a < b, of groups(model, gid, vector, heads) that share a visited bucket; of crowded buckets only those among the k best of either."""
     m, needed = hash_shape(rows, least, probes)
     width, tables = bin_width(least), tables or needed
 
@@ -128,8 +185,13 @@ def candidate_pairs(groups: DataFrame, rows: int, k: int, least: float, tables:
                         )
 
     hashed = cut(groups.select("model", "gid", "vector").mapInArrow(run, "gid long, bucket long, home boolean"), "buckets")
-    index = hashed.filter("home").select(F.col("gid").alias("b"), "bucket")
-    found = hashed.select(F.col("gid").alias("a"), "bucket").join(index, "bucket").filter("a <> b").select("a", "b")
+    crowded = cut(hashed.filter("home").groupBy("bucket").count().filter(F.col("count") > HOT).select("bucket"), "crowded")  # at most rows x tables / HOT of them
+    some = crowded.limit(1).count() > 0
+    loose = hashed.join(F.broadcast(crowded), "bucket", "left_anti") if some else hashed
+    index = loose.filter("home").select(F.col("gid").alias("b"), "bucket")
+    found = loose.select(F.col("gid").alias("a"), "bucket").join(index, "bucket").filter("a <> b").select("a", "b")
+    if some:
+        found = found.unionByName(_crowded_pairs(hashed.join(F.broadcast(crowded), "bucket", "left_semi"), groups, k, least))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
