@@ -199,6 +199,33 @@ def test_clusters_of_planted_groups(spark, monkeypatch):
     assert clusters.cluster_vectors(df.limit(0)).count() == 0
 
 
+def planted_cases(groups, size, cosine, dim=96, seed=21):
+    """Groups of which every two vectors have about the cosine, as many as meet the definition at 0.74."""
+    rng = np.random.default_rng(seed)
+    out = []
+    while len(out) < groups:
+        x = np.sqrt(cosine) * rng.normal(size=dim) + np.sqrt(1 - cosine) * rng.normal(size=(size, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        if (2 * ((x @ x.T >= 0.74).sum(axis=1) - 1) >= size - 1).all():
+            out.append(x)
+    return np.concatenate(out)
+
+
+@pytest.mark.parametrize("exact", [200_000, 0])
+@pytest.mark.parametrize("cosine", [0.755, 0.78])
+def test_small_clusters_near_the_least_cosine_stay_whole(spark, monkeypatch, exact, cosine):
+    shape = clusters.minhash_rows
+    monkeypatch.setattr(clusters, "EXACT", exact)
+    monkeypatch.setattr(clusters, "WIDE", 300)
+    monkeypatch.setattr(clusters, "minhash_rows", lambda v, rows, c: shape(v, 77_760, c))  # the bands of a larger table
+    x = planted_cases(100, 10, cosine)
+    df = spark.createDataFrame([("m", i, [float(v) for v in r]) for i, r in enumerate(x)], "model string, id long, vector array<double>")
+    got = {}
+    for r in clusters.cluster_vectors(df).collect():
+        got.setdefault(r["component"], set()).add(r["id"])
+    assert sum(set(range(10 * k, 10 * k + 10)) in got.values() for k in range(100)) == 100
+
+
 def test_loose_groups_are_split_around_medoids(spark):
     rng = np.random.default_rng(3)
     a, b = np.eye(48)[0], np.eye(48)[1]
