@@ -165,6 +165,23 @@ def test_recall_in_hot_buckets(spark, monkeypatch):
     assert len(want) == 2500 and len(got & want) >= 0.99 * len(want)
 
 
+def test_nearest_of_every_vector_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 90)
+    x = cloud(400)
+    x[390:400] = x[0]  # more copies than k
+    x[380:390] = 2 * x[3]  # equal cosines of vectors that are no copies
+    other = spark.createDataFrame([("other", 0, [1.0, 0.0]), ("other", 1, [-1.0, 0.0])], "model string, rowid long, vector array<float>")
+    got = {}
+    for r in vectors.nearest_vectors(rows_of(spark, x).unionByName(other)).collect():
+        got.setdefault((r["model"], r["rowid"]), set()).add(r["near"])
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = u @ u.T
+    want = {("m", i): set(sorted((j for j in range(400) if j != i), key=lambda j: (-round(c[i, j], 9), j))[:5]) for i in range(400)}
+    assert got == want | {("other", 0): {1}, ("other", 1): {0}}
+    assert vectors.nearest_vectors(other.limit(0)).count() == 0
+
+
 def test_probes_are_distinct_and_in_order():
     found = vectors.probe_order(10, 50)
     assert len(set(found)) == 50 and found[0] == (0,) and all(19 - r not in p for p in found for r in p)

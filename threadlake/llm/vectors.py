@@ -123,8 +123,8 @@ def greatest_of_rows(c: np.ndarray, k: int, least: float) -> tuple[np.ndarray, n
     return row[first], column[first]
 
 
-def block_best(x: np.ndarray, x_ids: np.ndarray, y: np.ndarray, y_ids: np.ndarray, k: int, least: float) -> pa.Table:
-    """(a, b, cosine): of each x the k most similar of y and of each y those of x, never itself. The rows stand in the order that breaks ties."""
+def block_best(x: np.ndarray, x_ids: np.ndarray, y: np.ndarray, y_ids: np.ndarray, k: int, least: float, both: bool = True) -> pa.Table:
+    """(a, b, cosine): of each x the k most similar of y and, for both, of each y those of x, never itself. The rows stand in the order that breaks ties."""
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     place = {v: i for i, v in enumerate(y_ids.tolist())}
     same = np.array([place.get(v, -1) for v in x_ids.tolist()], np.int64)
@@ -134,8 +134,9 @@ def block_best(x: np.ndarray, x_ids: np.ndarray, y: np.ndarray, y_ids: np.ndarra
         c[mine, same[start + mine]] = -3
         i, j = greatest_of_rows(c, k, least)
         parts.append((x_ids[start + i], y_ids[j], c[i, j]))
-        j, i = greatest_of_rows(np.ascontiguousarray(c.T), k, least)
-        parts.append((y_ids[j], x_ids[start + i], c[i, j]))
+        if both:
+            j, i = greatest_of_rows(np.ascontiguousarray(c.T), k, least)
+            parts.append((y_ids[j], x_ids[start + i], c[i, j]))
     return pa.table(dict(zip(("a", "b", "cosine"), (pa.array(np.concatenate([p[n] for p in parts] or [np.zeros(0)]), t) for n, t in enumerate((pa.int64(), pa.int64(), pa.float64()))))))
 
 
@@ -256,10 +257,40 @@ def _ranked(both: DataFrame, groups: DataFrame, members: DataFrame, k: int) -> D
     return mine.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("model", "rowid", "near", "cosine")
 
 
+def nearest_vectors(vectors: DataFrame, k: int = 5) -> DataFrame:
+    """(model, rowid, near, cosine): the k most similar others of each vector, however far they are.
+
+    As similar_vectors(), but exact: the nearest of most vectors are as far as random ones, which no hash tells
+    apart. All vectors of a model and length are compared in blocks of BLOCK by BLOCK, each by a task of its own that
+    gives only the k best of each row; time is quadratic. A vector with fewer others gets them all.
+    """
+    groups, members = vector_groups(vectors, k + 1)
+    groups, members = cut(groups, "groups"), cut(members, "members")
+    held = groups.select("gid", "vector", F.col("heads")[0].alias("first"), F.xxhash64("model", F.size("vector")).alias("part"))
+    numbered = held.join(held.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "part").withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")))
+    spread = numbered.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = spread.select("part", "gid", "vector", "first", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("mine"))
+
+    def best(got: pa.Table) -> pa.Table:
+        x, x_ids = _side(got, True)
+        within = got["i"][0].as_py() == got["j"][0].as_py()
+        y, y_ids = (x, x_ids) if within else _side(got, False)
+        if not len(x) or not len(y):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        return block_best(x, x_ids, y, y_ids, k, -2, both=not within)
+
+    both = cut(spread.groupBy("part", "i", "j").applyInArrow(best, "a long, b long, cosine double"), "nearest")
+    return _ranked(both.withColumn("cosine", F.round("cosine", 9)), groups, members, k)
+
+
+def p3_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(usable_vectors(table(spark, sf_dir, "message_vectors")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = similar_vectors(usable_vectors(table(spark, sf_dir, "message_vectors")))
     return near.select("model", F.least("rowid", "near").alias("rowid_a"), F.greatest("rowid", "near").alias("rowid_b")).distinct()
 
 
-QUERIES = {"p3_found": p3_found}
+QUERIES = {"p3_found": p3_found, "p3_neighbors": p3_neighbors}
 SQL: dict[str, str] = {}
