@@ -377,7 +377,7 @@ def vector_norms(s, d):
 
 @query()
 def semantic_search(s, d):
-    rows = _messages(s, d).filter("role = 'user' and kind = 'text'")
+    rows = _messages(s, d).filter(retrieval.embeddable())
     embedder = retrieval.HashingEmbedder()
     vectors = retrieval.embed(rows.withColumn("embed_text", retrieval.embed_text()), embedder, ["rowid"]).join(rows.select("rowid", "session_id"), "rowid").select("rowid", "session_id", "vector")
     return retrieval.semantic_search(vectors, rows, _sessions(s, d), "why does the lease report broken pipe", embedder)
@@ -385,7 +385,7 @@ def semantic_search(s, d):
 
 @query()
 def ask_context(s, d):
-    rows = _messages(s, d).filter("role = 'user' and kind = 'text'")
+    rows = _messages(s, d).filter(retrieval.embeddable())
     embedder = retrieval.HashingEmbedder()
     vectors = retrieval.embed(rows.withColumn("embed_text", retrieval.embed_text()), embedder, ["rowid"]).join(rows.select("rowid", "session_id"), "rowid").select("rowid", "session_id", "vector")
     return retrieval.ask_context(vectors, _messages(s, d), _sessions(s, d), embedder.embed(["stale checkpoint in the parser"])[0])
