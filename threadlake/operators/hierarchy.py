@@ -282,20 +282,41 @@ def hierarchy(rows: DataFrame, key: str, parent: str, near: list[str] | None = N
     return place.join(tops, "root").join(kept, "id").select("key", "top", F.col("depth").cast("int").alias("depth"), "kind", *extra)
 
 
-def ancestors(places: DataFrame, of: DataFrame) -> DataFrame:
-    """(key, ancestor, ancestor_depth) of the keys in of(key), from places made by hierarchy().
+def _nested(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """outer(tree, entry, exit, ...) joined with those of inner(tree, at, ...) that stand inside.
 
-    Uses the intervals of the tour: an equi-join on tree with entry before and exit after. Ordered by
-    ancestor_depth they are the full path of a key; the total length of paths is quadratic in deep chains,
-    so they are made for the keys asked for.
+    An interval is cut into blocks of 1, 2, 4, ... positions, of which exactly one holds each position inside, so
+    that only rows that belong together meet.
     """
-    low = places.join(of.select("key").distinct(), "key").select("key", "tree", F.col("entry").alias("e"), F.col("exit").alias("x"))
+    lo, hi = F.col("entry") + 1, F.col("exit")
+    size = lambda v: F.pow(F.lit(2.0), v).cast("long")
+
+    def cover(v: Column) -> Column:
+        first, last = F.ceil(lo / size(v)), F.floor(hi / size(v))
+        some = first < last
+        return F.array(F.struct(v.alias("level"), F.when(some & (first % 2 == 1), first).alias("block")), F.struct(v.alias("level"), F.when(some & (last % 2 == 1), last - 1).alias("block")))
+
+    top = lambda length: F.floor(F.log2(length.cast("double"))).cast("int")
+    wide = outer.filter(lo < hi)
+    cut_up = wide.withColumn("c", F.explode(F.filter(F.flatten(F.transform(F.sequence(F.lit(0), top(hi - lo)), cover)), lambda x: x["block"].isNotNull())))
+    cut_up = cut_up.withColumns({"level": F.col("c.level"), "block": F.col("c.block")}).drop("c")
+    levels = wide.groupBy("tree").agg(F.max(top(hi - lo)).alias("top"))
+    placed = inner.join(levels, "tree").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("top")))).drop("top")
+    return cut_up.join(placed.withColumn("block", F.floor(F.col("at") / size(F.col("level")))), ["tree", "level", "block"])
+
+
+def ancestors(places: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(key, ancestor, ancestor_depth) of the keys in of(key), or of all, from places made by hierarchy().
+
+    Ordered by ancestor_depth they are the full path of a key, and those of all keys give each ancestor its
+    descendants; the total length of paths is quadratic in deep chains.
+    """
+    low = places if of is None else places.join(of.select("key").distinct(), "key")
     high = places.select(F.col("key").alias("ancestor"), "tree", "entry", "exit", F.col("depth").alias("ancestor_depth"))
-    return low.join(high, "tree").filter((F.col("entry") < F.col("e")) & (F.col("exit") > F.col("x"))).select("key", "ancestor", "ancestor_depth")
+    return _nested(high, low.select("key", "tree", F.col("entry").alias("at"))).select("key", "ancestor", "ancestor_depth")
 
 
 def descendants(places: DataFrame, of: DataFrame) -> DataFrame:
     """(key, descendant) of the keys in of(key), from places made by hierarchy()."""
-    high = places.join(of.select("key").distinct(), "key").select("key", "tree", F.col("entry").alias("e"), F.col("exit").alias("x"))
-    low = places.select(F.col("key").alias("descendant"), "tree", "entry", "exit")
-    return high.join(low, "tree").filter((F.col("entry") > F.col("e")) & (F.col("exit") < F.col("x"))).select("key", "descendant")
+    high = places.join(of.select("key").distinct(), "key").select("key", "tree", "entry", "exit")
+    return _nested(high, places.select(F.col("key").alias("descendant"), "tree", F.col("entry").alias("at"))).select("key", "descendant")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.operators.hierarchy import hierarchy
+from threadlake.operators.hierarchy import ancestors, hierarchy
 from threadlake.operators.timestamps import USUAL, epoch_from_number, normalize_times
-from threadlake.session import table
+from threadlake.session import cut, table
 
 DEEP = 100  # ancestors from which a record below a true root is reported
 
@@ -26,9 +26,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def _both(of_src) -> DataFrame:
+    found = [of_src(src).select(F.lit(src).alias("src"), "*") for src in ("samples", "messages")]
+    return found[0].unionByName(found[1])
+
+
 def p2_tree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record of messages with its depth, root, place in the tour and number of descendants."""
-    return _places(spark, sf_dir, "messages", positions=True).select("key", "top", "depth", "kind", "entry", "exit", "descendants")
+    """Every record of samples and messages with its depth, root, place in the tour and number of descendants."""
+    return _both(lambda src: _places(spark, sf_dir, src, positions=True).select("key", "top", "depth", "kind", "entry", "exit", "descendants"))
+
+
+def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of samples and messages with each of its ancestors: by ancestor_depth its path, by ancestor the descendants."""
+    return _both(lambda src: ancestors(cut(_places(spark, sf_dir, src, positions=True), "places")))
 
 
 def session_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +71,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole
 
 
-QUERIES = {"p2_found": p2_found, "p2_tree_sizes": p2_tree_sizes, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p2_tree_sizes": p2_tree_sizes, "p2_paths": p2_paths, "p7_found": p7_found}
 SQL: dict[str, str] = {}
