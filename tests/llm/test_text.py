@@ -168,3 +168,8 @@ def test_the_cheap_test_lets_all_entities_pass(spark):
     texts = [t for t, gold in pii_training.examples(400, 5) if gold and pii.segments(t)]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     assert df.filter(pii.may_hold(F.col("text"), sorted(pii_training.GIVEN))).count() == len(texts)
+
+
+@pytest.mark.parametrize("text", ["mail john at example.com please", "we spoke with zorvan quillet about it", "meeting with zorvan quillet", "talked to zorvan quillet", "call ٠١٢٣٤٥٦٧٨٩ now"])
+def test_the_cheap_test_lets_candidates_pass(spark, text):
+    assert spark.createDataFrame([(text,)], "t string").select(pii.may_hold(F.col("t"), ["anna"])).first()[0]

@@ -440,8 +440,8 @@ def _by_letter(words: Iterable[str]) -> str:
 def may_hold(text: Column, names: list[str]) -> Column:
     """False only where no candidate of a positive score can be found: a cheap test that keeps most texts in the JVM."""
     low = F.lower(text)
-    numbers = r"[0-9０-９](?:[^\p{L}\n0-9０-９]{0,3}[0-9０-９]){5}"
-    mail = r"[@＠]|%40|&#64;|u0040|&commat;|[\[({<]\s?at\s?[\])}>]|\sat\s[^\n]{1,80}dot"
+    numbers = r"\p{Nd}(?:[^\p{L}\n\p{Nd}]{0,3}\p{Nd}){5}"
+    mail = r"[@＠]|%40|&#64;|u0040|&commat;|[\[({<]\s?at\s?[\])}>]|\sat\s[^\n]{1,80}dot|\sat\s{1,3}[\p{L}\p{N}\-]+\.[\p{L}\p{N}\-]"
     street = (
         r"\d\w?,?\s(?:[\p{L}.'’\-]+\s){1,4}(?:street|str|st|road|rd|lane|ln|avenue|ave|boulevard|blvd|court|ct|drive|dr|way|place|pl|square|sq|terrace|close|crescent|row|highway|hwy|parkway|pkwy)(?!\p{L})"
         r"|\d,?\s(?:bis|ter)?,?\s?(?:rue|avenue|boulevard|place|chemin|impasse|quai|all[eé]e|cours)\s"
@@ -450,7 +450,7 @@ def may_hold(text: Column, names: list[str]) -> Column:
     )
     pair = r"(?<![\p{L}\d])\p{Lu}[\p{L}'’\-]*[.,]?\s{1,2}(?:\p{Lu}\.?\s)?\p{Lu}[\p{L}'’\-]|\p{Lu}\.\p{Lu}\p{L}"
     title = r"(?<!\p{L})(?:" + "|".join(sorted(_TITLES)) + r")\.?\s\p{L}"
-    cue = r"(?<!\p{L})(?:signed off by|belongs to|pairing with|reviewed-by|approved by|written by|assigned to|ansprechpartner|selon|según|ask|hi|hello|hey|dear|owner|assignee|author|reported|wants|wanted|asked|wrote|writes)(?!\p{L})|[—–]"
+    cue = r"(?<!\p{L})(?:signed off by|belongs to|pairing with|reviewed-by|approved by|written by|assigned to|ansprechpartner|selon|según|ask|hi|hello|hey|dear|owner|assignee|author|reported|wants|wanted|asked|wrote|writes|meeting with|spoke with|talk(?:ed)? to|regards)(?!\p{L})|[—–]"
     known = rf"(?<![\p{{L}}\d])(?:{_by_letter(names)})(?!\p{{L}})"
     return text.rlike(pair) | low.rlike(numbers) | low.rlike(mail) | low.rlike(title) | low.rlike(cue) | low.rlike(known) | low.rlike(street)
 
