@@ -28,7 +28,7 @@ def home(tmp_path):
         said("user", "user", "Please fix the stale lease in the parser", 1),
         said("user", "user", [{"type": "text", "text": "two"}, {"type": "tool_result", "content": [{"type": "text", "text": "a"}, {"type": "image"}, {"type": "text", "text": "b"}]}, {"type": "tool_result", "is_error": True, "content": "bad"}, {"type": "image", "source": {"type": "x"}}], 2),
         said("assistant", "assistant", [{"type": "text", "text": "[1,2] plain"}, {"type": "thinking", "thinking": "hm"}], 3),
-        said("assistant", "assistant", [{"type": "tool_use", "name": "Read", "input": {"file_path": "/some/file.go", "a": 1}}], 4),
+        said("assistant", "assistant", [{"type": "tool_use", "name": "Read", "input": {"file_path": "/srv/x/lease.go", "a": 1}}], 4),
         "{broken",
         {"type": "ai-title", "aiTitle": "Generated"},
         {"type": "custom-title", "customTitle": "Chosen"},
@@ -61,7 +61,7 @@ def test_claude_lines(spark, home):
     got = [(r["kind"], r["text"], r["tool_name"], r["is_sidechain"]) for r in messages.orderBy("seq").collect()]
     assert got == [
         ("text", "Please fix the stale lease in the parser", None, False), ("text", "two", None, False), ("tool_result", "a\nb", None, False), ("tool_result", "bad", None, False), ("text", "[1,2] plain", None, False), ("thinking", "hm", None, False),
-        ("tool_use", 'Read {"file_path":"/some/file.go","a":1}', "Read", False), ("tool_use", 'Bash {"command":"go build"}', "Bash", True),
+        ("tool_use", 'Read {"file_path":"/srv/x/lease.go","a":1}', "Read", False), ("tool_use", 'Bash {"command":"go build"}', "Bash", True),
     ]
     s = sessions.collect()
     assert len(s) == 1 and (s[0]["title"], s[0]["project_path"], s[0]["git_branch"], s[0]["message_count"]) == ("Chosen", "/p", "main", 8)
@@ -123,7 +123,7 @@ def test_indexing_twice_changes_nothing(spark, home, tmp_path):
     hits = engine.search_history("lease").collect()
     assert {h["session_id"] for h in hits} >= {"s1"} and "[lease]" in hits[0]["snippet"]
     assert engine.semantic_search("please fix stale in parser").first()["session_id"] == "s1"
-    assert engine.list_sessions(limit=2).count() == 2 and engine.get_session("s1").count() == 3
+    assert engine.list_sessions(limit=2).count() == 2 and engine.get_session("s1").count() == 2 and engine.get_session("s1", sidechains=True).count() == 3
     assert "### user" in engine.summarize_session("s1").first()["summary"]
     assert engine.ask_history("stale lease")[0][0]["num"] == 1 and engine.mine_patterns()[1] == []
 
