@@ -115,6 +115,30 @@ def test_forms_are_stable_and_folding_is_an_option():
     assert lookalike.consistent_text("Straße", fold_case=True) == "strasse" and lookalike.consistent_text("x²", compat=True) == "x2"
 
 
+def test_a_run_by_itself_is_the_whole_text():
+    """Cutting a text at ASCII characters changes nothing, and a class holds all texts of one form."""
+    rng = random.Random(9)
+    import unicodedata
+
+    marks = ["a", "E", "i", " ", "\n", "́", "̈", "​", "\u200d", "👩", "💻", "️", "é", "Ａ", "ﬁ", "раs", "Å", "\ue000", "가", "ᄀ", "ᅡ", "ﾊ", "ﾟ", "İ", "ß", "ς", "²", "①", "\x01", "-", "‐", "\u2028"]
+    for _ in range(3000):
+        text = "".join(rng.choice(marks) for _ in range(rng.randint(0, 9)))
+        parts = lookalike._JOINED_EMOJI.split(text.replace("\x01", ""))
+        whole = "\u200d".join(unicodedata.normalize("NFC", unicodedata.normalize("NFD", p).translate(lookalike._mapping(False))) for p in parts)
+        assert lookalike.consistent_text(text) == whole
+        assert "\ue000" not in text or "\ue000" in whole
+        twin = text.replace("a", "а").replace("é", "é")  # letters of another script, a composed accent
+        assert lookalike.consistent_text(twin) == whole and lookalike.class_key(lookalike.consistent_text(twin)) == lookalike.class_key(whole)
+
+
+def test_classes_of_same_looking_rows(spark):
+    rows = [(5, "abc", "x"), (2, "abс", "x"), (3, "abc", "x"), (4, "ABC", "x"), (7, "АBC", "x"), (8, "x²", "x"), (9, "x2", "x"), (1, None, "x"), (6, " ", "x"), (None, "abc", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = {tuple(r) for r in lookalike.look_classes(df, "doc_id", "text").select("id", "class_id", "n_texts", "n_rows").collect()}
+    assert got == {(5, 2, 2, 3), (2, 2, 2, 3), (3, 2, 2, 3), (4, 4, 2, 2), (7, 4, 2, 2)}
+    assert lookalike.look_classes(df.limit(0), "doc_id", "text").count() == 0
+
+
 def test_links_between_same_looking_rows(spark):
     rows = [(1, "abc"), (2, "abс"), (3, "abc"), (4, "ａbc"), (5, None), (6, " "), (7, "​"), (8, ""), (None, "abc"), (9, "xyz")]
     got = {tuple(r) for r in lookalike.same_looking(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}

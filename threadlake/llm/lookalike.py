@@ -1,11 +1,12 @@
 """One consistent form for texts that look the same.
 
-consistent_form() composes accents, unfolds forms that are drawn alike (full-width and half-width forms,
-ligatures, presentation forms, letters of other scripts), maps blanks and hyphens, and removes what shows
-nothing. What the eye can tell apart stays apart: case, accents, superscripts, circled digits. fold_case=True
-adds full case folding and compat=True the whole compatibility normalisation, for looser comparisons.
+Compatibility normalisation in composed form, full case folding, mapped blanks, and removal of default-ignorable
+characters give each text the key of a class (class_key). What the eye can tell apart though the key doesn't, such as
+case, superscripts and circled digits, then splits the classes: consistent_text() is the form that keeps it, and only
+unfolds what is drawn alike (full-width and half-width forms, ligatures, presentation forms, letters of other scripts).
 
-The work is done once per distinct value of a batch, by three string operations in C.
+Each distinct text is worked on once, and within texts each distinct run of characters beyond ASCII: what stands
+between two ASCII characters is normalised by itself, since none of them composes with what precedes it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.session import table
+from threadlake.session import cut, table
 
 # fixed values: letters of other scripts that are drawn like Latin ones, script by script
 _DRAWN_ALIKE = (
@@ -30,6 +31,7 @@ _DRAWN_ALIKE = (
     ("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏙᏚᏞᏟᏢᏦᏴᏏ", "DRTiAJEWMHYGZVSLCPKBb"),
     ("ⲞⲟⲤⲥⲢⲣⲎⲒⲔⲘⲚⲦⲀⲂⲈⲬⲨ", "OoCcPpHIKMNTABEXY"),
     ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    ("ɑα", "aa"),
     ("ɡµ", "gμ"),
 )
 _HYPHENS = "\u2010\u2011\ufe63\uff0d"  # fixed values: hyphens of any kind but the soft one, which shows nothing
@@ -37,7 +39,8 @@ _SHOWS_NOTHING = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B,
 _UNFOLDED = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
 _BREAKS = "\t\n\v\f\r\x1c\x1d\x1e\x85\u2028\u2029"
 _JOINED_EMOJI = re.compile("(?<=[\u2190-\u2bff\ufe0f\U0001f000-\U0001faff])\u200d(?=[\u2190-\u2bff\U0001f000-\U0001faff])")
-_KEPT_JOINER = "\ue000"  # private use: stands for a joiner that changes what is drawn
+_RUN = re.compile("[\x00-\x7f]?[^\x00-\x7f]+")
+_CONTROL = re.compile("[\x00-\x08\x0e-\x1b\x7f]")  # of ASCII, those that show nothing
 
 
 @lru_cache(maxsize=2)
@@ -65,15 +68,36 @@ def _mapping(compat: bool) -> dict[int, str]:
     return table_
 
 
+@lru_cache(maxsize=100_000)
+def _unfolded(run: str, compat: bool) -> str:
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", run).translate(_mapping(compat)))
+
+
+def _short(run: str, compat: bool) -> str:
+    """Runs that are long are rarely met again, and not kept."""
+    return _unfolded(run, compat) if len(run) < 40 else _unfolded.__wrapped__(run, compat)
+
+
 def consistent_text(text: str, fold_case: bool = False, compat: bool = False) -> str:
-    if text.isascii() and not fold_case and text.isprintable():
-        return text
-    if "\u200d" in text:
-        text = _JOINED_EMOJI.sub(_KEPT_JOINER, text)
-    text = unicodedata.normalize("NFD", text).translate(_mapping(compat))
-    if fold_case:
-        text = text.casefold()
-    return unicodedata.normalize("NFC", text).replace(_KEPT_JOINER, "\u200d")
+    if _CONTROL.search(text):
+        text = _CONTROL.sub("", text)
+    if not text.isascii():
+        # a joiner between symbols changes what is drawn, any other shows nothing
+        parts = _JOINED_EMOJI.split(text) if "\u200d" in text else [text]
+        text = "\u200d".join(_RUN.sub(lambda m: _short(m.group(), compat), p) for p in parts)
+    return class_fold(text) if fold_case else text
+
+
+def class_fold(text: str) -> str:
+    """Full case folding, composed."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).casefold())
+
+
+def class_key(shown: str) -> str:
+    """The class of a text in its consistent form: compatibility normalisation, composed, and full case folding."""
+    if shown.isascii():
+        return shown.lower()
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", shown).casefold())
 
 
 def consistent_form(text: Column, fold_case: bool = False, compat: bool = False) -> Column:
@@ -87,19 +111,43 @@ def consistent_form(text: Column, fold_case: bool = False, compat: bool = False)
     return form(text)
 
 
-def form_digest(text: Column, fold_case: bool = False, compat: bool = False) -> Column:
-    """128 bits that are equal for texts of the same form; null for null and for texts that show nothing."""
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
-    @F.pandas_udf("string")
-    def digest(values: pd.Series) -> pd.Series:
-        def of(v: str) -> str | None:
-            form = consistent_text(v, fold_case, compat)
-            return hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if form.strip() else None
 
-        unique = {v: of(v) for v in values.dropna().unique()}
-        return values.map(unique)
+def digests(text: Column) -> Column:
+    """(key, shown): 128 bits each of a text's class and of its consistent form; both null for null and for texts that show nothing."""
+
+    @F.pandas_udf("key string, shown string")
+    def both(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in values:
+            form = consistent_text(v) if v else ""
+            rows.append((_digest(class_key(form)), _digest(form)) if form.strip() else (None, None))
+        return pd.DataFrame(rows, columns=["key", "shown"], dtype=object)
+
+    return both(text)
 
-    return digest(text)
+
+def looks(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """rows(id, exact) of df, and texts(exact, key, shown, first, n): each distinct text with its digests, smallest id and number of rows.
+
+    Texts that are null or show nothing are in rows only, and rows without id are left out. Each distinct text goes
+    through Python once; after that only digests move.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
+    distinct = rows.groupBy("text").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    exact = F.md5(F.encode("text", "UTF-8")).alias("exact")
+    told = distinct.select(exact, digests(F.col("text")).alias("d"), "first", "n").select("exact", "d.key", "d.shown", "first", "n")
+    return rows.select("id", exact), cut(told.filter("key is not null"), "looks")
+
+
+def _classes(texts: DataFrame) -> DataFrame:
+    """Those of looks()' texts that share their class, and within it their form, with another text, with the sizes of their class."""
+    wide = texts.groupBy("key").agg(F.count("*").alias("t")).filter("t > 1").select("key")
+    split = texts.join(wide, "key", "left_semi")
+    sizes = split.groupBy("key", "shown").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_rows"), F.min("first").alias("class_id")).filter("n_texts > 1")
+    return split.join(sizes, ["key", "shown"])
 
 
 def same_looking(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -107,26 +155,40 @@ def same_looking(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Every row is linked to the first row (smallest key) of each other string that looks like its own: all
     pairs, where strings occur once; of many copies of one string not the product with the copies of
-    another, but no link between two different strings is lost. Rows with null keys, null texts and texts
-    that show nothing are left out. Only digests are shuffled. Extra columns are ignored.
+    another, but no link between two different strings is lost (see look_classes() for membership). Rows with null
+    keys, null texts and texts that show nothing are left out. Extra columns are ignored.
     """
-    rows = df.select(F.col(key).alias("id"), F.md5(F.encode(F.col(text), "UTF-8")).alias("exact"), form_digest(F.col(text)).alias("form")).filter("form is not null and id is not null")
-    classes = rows.groupBy("form", "exact").agg(F.min("id").alias("first"))
-    several = classes.groupBy("form").agg(F.count("*").alias("n")).filter("n > 1").select("form")
-    classes = classes.join(several, "form", "left_semi").select("form", F.col("exact").alias("other"), "first")
-    linked = rows.join(classes, "form").filter(F.col("exact") != F.col("other"))
+    rows, texts = looks(df, key, text)
+    classes = cut(_classes(texts).select("key", "shown", "exact", "first"), "classes")
+    mine = rows.join(classes.select("key", "shown", "exact"), "exact")
+    others = classes.select("key", "shown", F.col("exact").alias("other"), "first")
+    linked = mine.join(others, ["key", "shown"]).filter(F.col("exact") != F.col("other"))
     return linked.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
 
 
+def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, class_id, n_texts, n_rows) of every row with another string that looks like its own: class_id is the smallest id of all of them.
+
+    Copies are members like any other. Nulls and texts that show nothing are left out, as in same_looking().
+    """
+    rows, texts = looks(df, key, text)
+    return rows.join(_classes(texts).select("exact", "class_id", "n_texts", "n_rows"), "exact").drop("exact")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = same_looking(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose text has look-alikes, with its class, the class's number of different strings and of documents."""
+    return look_classes(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text in the consistent form."""
     return table(spark, sf_dir, "documents").select("doc_id", consistent_form(F.col("text")).alias("form"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {"p10_found": p10_found, "p10_forms": p10_forms, "p10_classes": p10_classes}
 SQL: dict[str, str] = {}
