@@ -47,12 +47,27 @@ CASES = [
 def solved(spark):
     rows = spark.createDataFrame([(i, s, "berlin", "clash") for i, (s, _) in enumerate(CASES)], "k int, s string, o string, zone string")
     zones = spark.createDataFrame([("berlin", "Europe/Berlin"), ("none", None)], "owner string, zone string")
-    return {int(r["key"]): r["epoch_us"] for r in t.normalize_times(rows, "k", "s", "o", zones).collect()}
+    return {int(r["key"]): (r["epoch_us"], r["told"]) for r in t.normalize_times(rows, "k", "s", "o", zones).collect()}
 
 
 @pytest.mark.parametrize("i", range(len(CASES)))
 def test_spellings(solved, i):
-    assert solved[i] == CASES[i][1], CASES[i][0]
+    assert solved[i][0] == CASES[i][1], CASES[i][0]
+
+
+def test_how_an_instant_was_found(solved):
+    told = {CASES[i][0]: how for i, (_, how) in solved.items()}
+    assert told["2025-10-26 02:30:00"] == "ambiguous" and told["2025-03-30 02:30:00"] == "skipped" and told["2026-07-03 12:39:45"] == "local"
+    assert told["1765052687"] == told["2025-02-01T00:21Z"] == "zone" and told["n/a"] is None and told["2025-13-01T00:00:00Z"] is None
+
+
+def test_years_and_kept_columns(spark):
+    rows = spark.createDataFrame([("a", "1999-07-03 12:00:00", "b", 1, "x"), ("b", "2026-01-03 12:00:00", "b", 2, "y"), ("b", None, None, None, None)], "key string, at string, o string, told int, extra string")
+    zones = spark.createDataFrame([("b", "Europe/Berlin")], "owner string, zone string")
+    every = {r["extra"]: r["epoch_us"] for r in t.normalize_times(rows.drop("told"), "key", "at", "o", zones, keep=["extra"]).collect()}
+    assert every == {"x": us(1999, 7, 3, 10), "y": us(2026, 1, 3, 11), None: None}
+    some = {r["key"]: r["epoch_us"] for r in t.normalize_times(rows.filter("extra is not null"), "key", "at", "o", zones, (2025, 2027)).collect()}
+    assert some == {"a": None, "b": us(2026, 1, 3, 11)}
 
 
 def test_no_zone_gives_nothing_and_empty_tables(spark):
@@ -65,6 +80,7 @@ def test_no_zone_gives_nothing_and_empty_tables(spark):
 def test_numbers(spark):
     rows = spark.createDataFrame([(v,) for v in (1773687559655, 1770433036, 1776660181219683, 1773688745803238375, 0, -1, None, -62135596800000)], "v long")
     assert [r[0] for r in rows.select(t.epoch_from_number(F.col("v"))).collect()] == [1773687559655000, 1770433036000000, 1776660181219683, 1773688745803238, None, None, None, None]
+    assert rows.select(t.epoch_from_number(F.lit(99_000_000_000), (2025, 2027))).first()[0] is None
 
 
 def test_segments_agree_with_the_zone_database(spark):

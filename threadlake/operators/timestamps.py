@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-YEARS = (2024, 2029)  # zone intervals are built for these years; later years may be asked for
-SALTS = 8
+YEARS = (1970, 2039)  # zone intervals are built for these years, or for those asked for
+STEP = 7  # days; clocks are not changed and set back within so few
+SALTS = 16
 
 _ZONE = r"(Z|z|[A-Za-z]{2,5}|[+-]\d{2}(?::?\d{2})?)?(?:\[([^\]]+)\])?"
 # each gives year|month|day|hour|minute|second|fraction|am or pm|zone|region
@@ -41,7 +42,7 @@ USUAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"
 def zone_intervals(first: int = YEARS[0], last: int = YEARS[1]) -> tuple[tuple[str, int, int, int], ...]:
     """(zone, utc_from, utc_to, offset) in seconds for every IANA zone: the stretches of constant offset."""
     start, stop = datetime(first, 1, 1, tzinfo=timezone.utc), datetime(last, 1, 1, tzinfo=timezone.utc)
-    days = [start + timedelta(days=d) for d in range((stop - start).days + 1)]
+    days = [start + timedelta(days=d) for d in range(0, (stop - start).days + STEP, STEP)]
     found = []
     for name in sorted(available_timezones()):
         zone = ZoneInfo(name)
@@ -102,14 +103,16 @@ def _days(year: Column, month: Column, day: Column) -> Column:
     return era * 146097 + doe - 719468
 
 
-def _in_years(us: Column, years: tuple[int, int]) -> Column:
+def _in_years(us: Column, years: tuple[int, int] | None) -> Column:
+    if years is None:
+        return us
     low = int(datetime(years[0], 1, 1, tzinfo=timezone.utc).timestamp()) * 1_000_000
     high = int(datetime(years[1] + 1, 1, 1, tzinfo=timezone.utc).timestamp()) * 1_000_000
     return F.when((us >= low) & (us < high), us)
 
 
-def epoch_from_number(value: Column, years: tuple[int, int] = (2025, 2027)) -> Column:
-    """UTC microseconds of an integer count of seconds, milli-, micro- or nanoseconds; null where it is no time of those years."""
+def epoch_from_number(value: Column, years: tuple[int, int] | None = None) -> Column:
+    """UTC microseconds of an integer count of seconds, milli-, micro- or nanoseconds; null where it is no time, or none of those years."""
     micros = _counted(value.cast("long"), F.lit(0))
     return _in_years(micros, years)
 
@@ -154,7 +157,7 @@ def parse_times(df: DataFrame, text: str) -> DataFrame:
     year, month, day = F.col("_y"), F.col("_mo"), F.col("_d")
     leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
     longest = F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    possible = month.between(1, 12) & day.between(1, longest) & F.col("_h").between(0, 23) & F.col("_mi").between(0, 59) & F.col("_sec").between(0, 59) & (year >= 1)
+    possible = month.between(1, 12) & day.between(1, longest) & F.col("_h").between(0, 23) & F.col("_mi").between(0, 59) & F.col("_sec").between(0, 59) & (year > 1)
     clock = (_days(year, month, day).cast("long") * 86_400 + F.col("_h") * 3_600 + F.col("_mi") * 60 + F.col("_sec")) * 1_000_000 + F.col("_frac")
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
     east = F.when(zone.rlike(r"^[+-]"), F.when((F.col("_zh") <= 14) & (F.col("_zm") < 60), sign * (F.col("_zh") * 60 + F.col("_zm")))).otherwise(F.col("_ab"))
@@ -175,28 +178,41 @@ def _counted(value: Column, part: Column) -> Column:
     )
 
 
-def resolve_local(df: DataFrame, at: str, zone: str, out: str) -> DataFrame:
-    """Add out: the instant of the local time at (microseconds) in zone; null without a known zone. Rows are kept as they are."""
-    seg = F.broadcast(local_segments(df.sparkSession).withColumnsRenamed({c: f"_seg_{c}" for c in ("zone", "local_from", "local_to", "matches", "shift")}))
+def resolve_local(df: DataFrame, at: str, zone: str, out: str, matches: str = "matches", years: tuple[int, int] | None = None) -> DataFrame:
+    """Add out, the instant of the local time at (microseconds) in zone, and matches: of how many intervals of constant
+    offset it is a time (1; 2: it occurs twice and the first is meant; 0: it was skipped). Both are null without a known
+    zone. Rows are kept as they are."""
+    span = (years[0] - 1, years[1] + 2) if years else YEARS
+    seg = F.broadcast(local_segments(df.sparkSession, *span).withColumnsRenamed({c: f"_seg_{c}" for c in ("zone", "local_from", "local_to", "matches", "shift")}))
     hit = (F.col(zone) == F.col("_seg_zone")) & (F.col(at) >= F.col("_seg_local_from")) & (F.col(at) < F.col("_seg_local_to"))
-    return df.join(seg, hit, "left").withColumn(out, F.col(at) - F.col("_seg_shift")).drop("_seg_zone", "_seg_local_from", "_seg_local_to", "_seg_matches", "_seg_shift")
+    solved = df.join(seg, hit, "left").withColumns({out: F.col(at) - F.col("_seg_shift"), matches: F.col("_seg_matches").cast("int")})
+    return solved.drop("_seg_zone", "_seg_local_from", "_seg_local_to", "_seg_matches", "_seg_shift")
 
 
-def normalize_times(df: DataFrame, key: str, text: str, owner: str | None = None, zones: DataFrame | None = None, years: tuple[int, int] = (2025, 2027)) -> DataFrame:
-    """(key, epoch_us) of every row of df whose text column tells a time.
+def normalize_times(
+    df: DataFrame, key: str, text: str, owner: str | None = None, zones: DataFrame | None = None, years: tuple[int, int] | None = None, keep: list[str] | None = None, salts: int = SALTS
+) -> DataFrame:
+    """(key, epoch_us, told, keep...) of every row of df whose text column tells a time.
 
     owner: the column that leads to a zone through zones(owner, zone), of one row per owner; without a zone
-    a local time gives null. Null, blank, zero, negative, year 1 and no times give null. Rows of df with the
-    same key are rows of their own; df may have any further columns. An owner that holds a large part of all
-    rows is spread over several tasks.
+    a local time gives null. Null, blank, zero, negative, year 1 and no times give null, and so do times out of the
+    years, if given. told says how the instant was found: 'zone' (the time tells its offset, or counts from 1970),
+    'local' (one interval of its zone matches), 'ambiguous' (two match, the first instant is taken), 'skipped' (none
+    matches, the offset before the change is taken), or null. Rows of df with the same key are rows of their own; df
+    may have any further columns, of which those in keep come along. An owner that holds a large part of all rows is
+    spread over `salts` tasks.
     """
-    picked = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), (F.col(owner) if owner else F.lit(None).cast("string")).alias("owner"))
+    keep = keep or []
+    aside = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None)
+    picked = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), (F.col(owner) if owner else F.lit(None).cast("string")).alias("owner"), aside.alias("_keep"))
     parsed = parse_times(picked, "text").drop("text")
     if zones is not None:
-        salted = parsed.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-        spread = zones.filter(F.col("zone").isNotNull()).select(F.col("owner"), "zone").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        parsed = salted.join(spread, ["owner", "salt"], "left").select("key", "at", "local", F.coalesce("region", "zone").alias("zone"))
+        salted = parsed.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
+        spread = zones.filter(F.col("zone").isNotNull()).select(F.col("owner"), "zone").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        parsed = salted.join(spread, ["owner", "salt"], "left").select("key", "at", "local", F.coalesce("region", "zone").alias("zone"), "_keep")
     else:
-        parsed = parsed.select("key", "at", "local", F.col("region").alias("zone"))
-    solved = resolve_local(parsed.select("key", "at", "local", F.when(F.col("local"), F.col("zone")).alias("zone")), "at", "zone", "shifted")
-    return solved.select("key", _in_years(F.when(F.col("local"), F.col("shifted")).otherwise(F.col("at")), years).alias("epoch_us"))
+        parsed = parsed.select("key", "at", "local", F.col("region").alias("zone"), "_keep")
+    solved = resolve_local(parsed.select("key", "at", "local", F.when(F.col("local"), F.col("zone")).alias("zone"), "_keep"), "at", "zone", "shifted", years=years)
+    epoch = _in_years(F.when(F.col("local"), F.col("shifted")).otherwise(F.col("at")), years)
+    told = F.when(~F.col("local"), "zone").when(F.col("matches") == 1, "local").when(F.col("matches") == 2, "ambiguous").when(F.col("matches") == 0, "skipped")
+    return solved.select("key", epoch.alias("epoch_us"), F.when(epoch.isNotNull(), told).alias("told"), *(F.col("_keep")[c].alias(c) for c in keep))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.operators.hierarchy import ancestors, hierarchy
@@ -55,21 +55,34 @@ def rollout_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(F.broadcast(zones), "project_path").select("owner", "zone")
 
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unusual = lambda df: df.filter(~F.col("timestamp").rlike(USUAL))
-    parts = {
-        "messages": normalize_times(unusual(table(spark, sf_dir, "messages").select("rowid", "timestamp", "session_id")), "rowid", "timestamp", "session_id", session_zones(spark, sf_dir)),
-        "envelopes": normalize_times(unusual(table(spark, sf_dir, "envelopes").select("env_id", "timestamp", "rollout_id")), "env_id", "timestamp", "rollout_id", rollout_zones(spark, sf_dir)),
-    }
-    for src, key, column in (("history", "hist_id", "timestamp"), ("local_sessions", "sessionId", "createdAt")):
-        odd = table(spark, sf_dir, src).filter(~F.col(column).between(10**11, 10**14 - 1))
-        parts[src] = odd.select(F.col(key).cast("string").alias("key"), epoch_from_number(F.col(column)).alias("epoch_us"))
+YEARS = (2025, 2027)  # all times of the tables lie in these years; a count of another time is none
+
+
+def _times(spark: SparkSession, sf_dir: str, only: dict[str, Column]) -> DataFrame:
+    """src, row_key, epoch_us, told of the rows of the four tables for which only[src] holds."""
+    zones = {"messages": session_zones, "envelopes": rollout_zones}
     whole = None
-    for src, part in parts.items():
-        part = part.filter(F.col("epoch_us").isNotNull()).select(F.lit(src).alias("src"), F.col("key").alias("row_key"), "epoch_us")
+    for src, key, column, owner in (("messages", "rowid", "timestamp", "session_id"), ("envelopes", "env_id", "timestamp", "rollout_id"), ("history", "hist_id", "timestamp", None), ("local_sessions", "sessionId", "createdAt", None)):
+        rows = table(spark, sf_dir, src).filter(only.get(src, F.lit(True)))
+        if owner:
+            part = normalize_times(rows.select(key, column, owner), key, column, owner, zones[src](spark, sf_dir), YEARS)
+        else:
+            part = rows.select(F.col(key).cast("string").alias("key"), epoch_from_number(F.col(column), YEARS).alias("epoch_us")).withColumn("told", F.when(F.col("epoch_us").isNotNull(), "zone"))
+        part = part.select(F.lit(src).alias("src"), F.col("key").alias("row_key"), "epoch_us", "told")
         whole = part if whole is None else whole.unionByName(part)
     return whole
 
 
-QUERIES = {"p2_found": p2_found, "p2_tree_sizes": p2_tree_sizes, "p2_paths": p2_paths, "p7_found": p7_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spelt, counted = ~F.col("timestamp").rlike(USUAL), lambda c: ~F.col(c).between(10**11, 10**14 - 1)
+    unusual = {"messages": spelt, "envelopes": spelt, "history": counted("timestamp"), "local_sessions": counted("createdAt")}
+    return _times(spark, sf_dir, unusual).filter(F.col("epoch_us").isNotNull()).select("src", "row_key", "epoch_us")
+
+
+def p7_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the four tables with its instant and how it was found (null: it tells no time, or no zone is known)."""
+    return _times(spark, sf_dir, {})
+
+
+QUERIES = {"p2_found": p2_found, "p2_tree_sizes": p2_tree_sizes, "p2_paths": p2_paths, "p7_found": p7_found, "p7_times": p7_times}
 SQL: dict[str, str] = {}
