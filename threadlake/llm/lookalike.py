@@ -139,7 +139,7 @@ def looks(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     distinct = rows.groupBy("text").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     exact = F.md5(F.encode("text", "UTF-8")).alias("exact")
     told = distinct.select(exact, digests(F.col("text")).alias("d"), "first", "n").select("exact", "d.key", "d.shown", "first", "n")
-    return rows.select("id", exact), cut(told.filter("key is not null"), "looks")
+    return rows.select("id", exact), cut(told, "looks").filter("key is not null")  # filtered after writing: a filter on a text's digest would go below its grouping, and digest twice
 
 
 def _classes(texts: DataFrame) -> DataFrame:
