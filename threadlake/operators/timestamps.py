@@ -124,8 +124,11 @@ def parse_times(df: DataFrame, text: str) -> DataFrame:
     off, missing ones are zero. Impossible days, hours and minutes are no times. The steps are projections of
     their own, so that no expression is evaluated, or compiled, more than once.
     """
-    keep = df.columns
-    step = df.select(*keep, F.regexp_replace(F.col(text), r"(?U)^[\s\p{Cf}]+|[\s\p{Cf}]+$", "").alias("_s"))
+    # the usual spelling is read at once, and the rest of the way has nothing to do for it
+    usual = F.when(F.col(text).rlike(USUAL), F.when(F.substring(F.col(text), 1, 4) > "0001", F.unix_micros(F.try_to_timestamp(F.concat(F.substring(F.col(text), 1, 23), F.lit("+00:00"))))).otherwise(0))
+    own, keep = df.columns, [*df.columns, "_usual"]
+    step = df.select(*own, usual.alias("_usual"))
+    step = step.select(*keep, F.when(F.col("_usual").isNull(), F.regexp_replace(F.col(text), r"(?U)^[\s\p{Cf}]+|[\s\p{Cf}]+$", "")).alias("_s"))
     spelling = F.lit(None).cast("int")
     for k, pattern in reversed(list(enumerate(_SPELLINGS))):
         spelling = F.when(F.col("_s").rlike(pattern), k).otherwise(spelling)
@@ -163,7 +166,7 @@ def parse_times(df: DataFrame, text: str) -> DataFrame:
     east = F.when(zone.rlike(r"^[+-]"), F.when((F.col("_zh") <= 14) & (F.col("_zm") < 60), sign * (F.col("_zh") * 60 + F.col("_zm")))).otherwise(F.col("_ab"))
     step = step.select(*keep, "_digits", _counted(whole, F.coalesce("_part", F.lit(0))).alias("_count"), F.when(possible, clock).alias("_clock"), F.coalesce(zone == "", F.lit(False)).alias("local"), east.cast("long").alias("_east"), "region")
     at = F.when(F.col("_digits"), F.col("_count")).otherwise(F.when(F.col("local"), F.col("_clock")).otherwise(F.col("_clock") - F.col("_east") * 60_000_000))
-    return step.select(*keep, at.alias("at"), "local", "region")
+    return step.select(*own, F.coalesce(F.nullif("_usual", F.lit(0)), at).alias("at"), "local", "region")
 
 
 def _counted(value: Column, part: Column) -> Column:
