@@ -70,12 +70,42 @@ def test_judging_sessions(spark):
     add("nulls", (0, "user", "hi"), (None, "assistant", "yo"))
     add(None, (0, "user", "hi"))
     df = spark.createDataFrame(rows, "rowid long, session_id string, seq long, role string, kind string, is_sidechain boolean, text string, indexed_at string")
-    got = {r["session_id"]: r["reason"] for r in conversations.judge(df).collect()}
-    assert got == {"good": None, "gap": "missing rows", "late": "missing rows", "mute": "no assistant turn", "alone": "no user turn", "open": "no reply", "blank": "no assistant turn", "copied": "no assistant turn", "nulls": "missing rows"}
     times = df.select("rowid", (F.col("rowid") * 1_000_000).alias("epoch_us"))
+    got = {r["session_id"]: r["reason"] for r in conversations.judge(conversations.sessionize(df, times)).collect()}
+    assert got == {"good": None, "gap": "missing rows", "late": "missing rows", "mute": "no assistant turn", "alone": "no user turn", "open": "no reply", "blank": "no assistant turn", "copied": "no assistant turn", "nulls": "missing rows"}
     turns = [(r["session_id"], r["turn"], r["speaker"], r["text"]) for r in conversations.conversations(df, times).orderBy("session_id", "turn").collect()]
     assert turns == [("good", 0, "user", "hi"), ("good", 1, "assistant", "yo")]
-    assert conversations.judge(df.limit(0)).count() == 0
+    assert conversations.judge(conversations.sessionize(df.limit(0), times)).count() == 0 and conversations.conversations(df, times.limit(0)).count() == 2
+
+
+@pytest.mark.parametrize("chunk", [4, 50_000])
+def test_sessions_in_stretches(spark, monkeypatch, chunk):
+    """A session over many stretches is that of one: turns, speakers, episodes against a plain loop."""
+    monkeypatch.setattr(conversations, "CHUNK", chunk)
+    rng, rows, want = __import__("random").Random(4), [], []
+    for s in range(6):
+        at, turn, episode, last, said = 0, 0, 0, None, []
+        for seq in range(40):
+            timed = rng.random() < 0.8
+            at += timed * (10_000 if rng.random() < 0.03 else 1)
+            said.append((seq, rng.choice(["user", "assistant", None, "tool"]) if seq < 39 else "assistant", at if timed else None))
+        known = lambda seqs: next((r for q, r, _ in seqs if r in ("user", "assistant")), None)
+        for seq, role, us in said:
+            before, after = known(reversed(said[:seq])), known(said[seq + 1 :])
+            if us is not None:
+                episode += last is not None and us - last > 1_000
+                last = us
+            around = {before, after} - {None}
+            other = {"user": "assistant", "assistant": "user"}[around.pop()] if role is None and len(around) == 1 else None
+            who = role if role in ("user", "assistant") else other
+            if who:
+                want.append((f"s{s}", seq, turn, episode, who, role is None, f"t{seq}"))
+                turn += 1
+            rows.append((f"s{s}", seq, role, "text", None, f"t{seq}", "2026-01-01", us, s * 100 + seq))
+    df = spark.createDataFrame(rows, "session_id string, seq long, role string, kind string, is_sidechain boolean, text string, indexed_at string, epoch_us long, rowid long")
+    monkeypatch.setattr(conversations.sessionize, "__defaults__", (False, 0.9))
+    got = sorted((r["session_id"], r["seq"], r["turn"], r["episode"], r["speaker"], r["inferred"], r["text"]) for r in conversations.conversations(df).collect())
+    assert got == sorted(want)
 
 
 def test_speakers_are_inferred(spark):

@@ -75,6 +75,16 @@ def test_fillings_are_close_to_the_best():
         assert sum(s * n for s, n in used.items()) == best and all(n <= counts[s] for s, n in used.items())
 
 
+def test_frequent_sizes_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SPREAD", 50)
+    rows = [(i, 30 if i % 3 else 41) for i in range(900)] + [(1000, 260)]
+    packed = packing.pack(spark.createDataFrame(rows, "id long, n long"), "id", "n", 100)
+    held = {r["container"]: (r["pieces"], r["filled"], r["slack"]) for r in packing.containers(packed, 100).collect()}
+    total = sum(n for _, n in rows)
+    assert sum(f for _, f, _ in held.values()) == total and all(f <= 100 and s == 100 - f for _, f, s in held.values())
+    assert len(held) <= total / 100 * 1.12 and sum(p for p, _, _ in held.values()) == 903
+
+
 def test_packing_keeps_all_items_and_the_capacity(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice([0, 1, 7, 7, 7, 13, 40, 100, 101, 250, rng.randint(1, 99)])) for i in range(3000)] + [(9_001, None), (9_002, -5), (5, 7), (5, 7)]

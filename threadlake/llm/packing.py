@@ -16,7 +16,8 @@ from threadlake.llm.tokens import count_tokens
 from threadlake.session import cut, table
 
 CAPACITY = 2048
-SALTS = 32
+SPREAD = 200_000  # pieces ranked by one task; a size with more is ranked in parts
+MOST_PARTS = 512  # so that at most capacity x MOST_PARTS counts go to the driver
 
 
 def best_filling(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -73,13 +74,16 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     sized = sized.withColumn("n_pieces", F.greatest(F.ceil(F.col("_n") / capacity), F.lit(1)).cast("int"))
     pieces = sized.select(key, "n_pieces", "_n", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece"))
     pieces = pieces.withColumn("piece_size", F.least(F.lit(capacity), F.col("_n") - F.col("piece").cast("long") * capacity).cast("int")).drop("_n")
-    pieces = cut(pieces.withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(SALTS)).cast("int")), "pieces")
-    # at most capacity x SALTS rows, whatever the input
+    pieces = cut(pieces, "pieces")
+    most = pieces.groupBy("piece_size").count().agg(F.max("count")).first()[0] or 0
+    salts = min(MOST_PARTS, max(1, -(-most // SPREAD)))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
+    # at most capacity x MOST_PARTS rows, whatever the input
     counted = pieces.filter("piece_size > 0").groupBy("piece_size", "salt").count().collect()
     by: dict[int, list[int]] = {}
     for s, salt, n in counted:
-        by.setdefault(s, [0] * SALTS)[salt] = n
-    offsets = [(s, k, sum(ns[:k])) for s, ns in by.items() for k in range(SALTS)]
+        by.setdefault(s, [0] * salts)[salt] = n
+    offsets = [(s, k, sum(ns[:k])) for s, ns in by.items() for k in range(salts)]
     used: dict[int, int] = {}
     rows, first = [], 0
     for times, filling in plan_fillings({s: sum(ns) for s, ns in by.items()}, capacity):
@@ -103,9 +107,21 @@ def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens")
 
 
+def containers(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(container, pieces, filled, slack) of pack()'s containers."""
+    return packed.filter("container is not null").groupBy("container").agg(F.count("*").alias("pieces"), F.sum("piece_size").alias("filled")).withColumn("slack", F.lit(capacity) - F.col("filled"))
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every container with its number of pieces, tokens and unused space."""
+    return containers(p9_pack(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p9_pack(spark, sf_dir).filter("n_pieces > 1 and piece = 0").select("doc_id")
+    """The documents that the plan puts into more than one container."""
+    put = p9_pack(spark, sf_dir).filter("container is not null").groupBy("doc_id").agg(F.count_distinct("container").alias("n"))
+    return put.filter("n > 1").select("doc_id")
 
 
-QUERIES = {"p9_found": p9_found, "p9_pack": p9_pack}
+QUERIES = {"p9_found": p9_found, "p9_pack": p9_pack, "p9_containers": p9_containers}
 SQL: dict[str, str] = {}
