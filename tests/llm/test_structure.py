@@ -258,10 +258,11 @@ def planted_cases(groups, size, cosine, dim=96, seed=21):
     return np.concatenate(out)
 
 
-@pytest.mark.parametrize("block", [2_000, 40])
+@pytest.mark.parametrize(("exact", "block"), [(200_000, 2_000), (0, 40)])
 @pytest.mark.parametrize("cosine", [0.755, 0.78])
-def test_small_clusters_near_the_least_cosine_stay_whole(spark, monkeypatch, block, cosine):
+def test_small_clusters_near_the_least_cosine_stay_whole(spark, monkeypatch, exact, block, cosine):
     shape = clusters.minhash_rows
+    monkeypatch.setattr(clusters, "EXACT", exact)
     monkeypatch.setattr(clusters, "BLOCK", block)
     monkeypatch.setattr(clusters, "WIDE", 300)
     monkeypatch.setattr(clusters, "minhash_rows", lambda v, rows, c: shape(v, 77_760, c))  # the bands of a larger table
