@@ -125,6 +125,16 @@ def format_time(at: Column) -> Column:
     return F.coalesce(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
 
 
+TIME_MODES = ("local", "utc", "date", "off")
+
+
+def display_time(at: Column, mode: str = "local", zone: str = "UTC") -> Column:
+    """A time as it is shown: to the minute in the zone or in UTC, its date in the zone, or not at all; '' for an unset time (session time zone UTC)."""
+    here = F.from_utc_timestamp(at, zone)
+    shown = {"local": F.date_format(here, "yyyy-MM-dd HH:mm"), "utc": F.date_format(at, "yyyy-MM-dd HH:mm 'UTC'"), "date": F.date_format(here, "yyyy-MM-dd"), "off": F.lit("")}
+    return F.coalesce(shown[mode], F.lit(""))
+
+
 def decode_project_dir(name: Column) -> Column:
     """A folder name back to the path it stands for: - becomes / unless the name is a number."""
     return F.when(name.contains("-") & ~name.rlike("^[0-9-]+$"), F.concat(F.lit("/"), F.replace(name, F.lit("-"), F.lit("/")))).otherwise(name)

@@ -15,9 +15,11 @@ def norm(v: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """0 where either vector is zero; null where the lengths differ."""
+    """0 where either vector is zero. Of unequal lengths the shorter one counts, but a's norm is that of its whole."""
+    shorter = lambda v, w: F.when(F.size(v) > F.size(w), F.slice(v, 1, F.size(w))).otherwise(v)
+    b = shorter(b, a)
     length = norm(a) * norm(b)
-    return F.when(F.size(a) != F.size(b), F.lit(None)).when(length == 0, F.lit(0.0)).otherwise(dot(a, b) / length)
+    return F.when(length == 0, F.lit(0.0)).otherwise(dot(shorter(a, b), b) / length)
 
 
 def normalize(v: Column) -> Column:

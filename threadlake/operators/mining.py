@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -188,9 +189,34 @@ def mine_skills(units: DataFrame, k: int | None = None, top: int = TOP) -> DataF
     return ranked.join(samples, "cluster").orderBy(F.desc("rank"), "cluster")
 
 
-def mine_scripts(messages: DataFrame, clusters: DataFrame | None = None, home: str = "", top: int = TOP) -> DataFrame:
+def script_clusters(units: DataFrame, k: int | None = None, top: int = TOP) -> DataFrame:
+    """(name, sessions, rank, samples) of clusters of commands: units as for mine_skills(), with the command as text; the most typical command names its cluster."""
+    found = mine_skills(units, k, top)
+    return found.select(F.coalesce(F.get("samples", F.lit(0)), F.lit("")).alias("name"), "sessions", "rank", "samples")
+
+
+def label_candidates(candidates: list, chat, system: str) -> list[dict]:
+    """Candidates (few rows, collected) with name and intent: asked of the model as JSON, else the first line of the most typical sample."""
+    out = []
+    for c in candidates:
+        d = c.asDict() if hasattr(c, "asDict") else dict(c)
+        samples = d.get("samples") or [d.get("name") or ""]
+        label: dict = {}
+        if chat is not None:
+            found = re.search(r"\{.*\}", chat.chat(system, "\n".join(f"{i}. {s}" for i, s in enumerate(samples, 1))), re.DOTALL)
+            try:
+                label = json.loads(found.group()) if found else {}
+            except ValueError:
+                label = {}
+        label = label if isinstance(label, dict) else {}
+        first = next((line.strip() for line in (samples[0] or "").splitlines() if line.strip()), "")
+        out.append(d | {"name": str(label.get("name") or d.get("name") or first or f"cluster-{d.get('cluster')}"), "intent": str(label.get("intent") or "")})
+    return out
+
+
+def mine_scripts(messages: DataFrame, clusters: DataFrame | None = None, home: str = "", top: int = TOP, least: int = LEAST_SESSIONS) -> DataFrame:
     """Candidates of scripts: command n-grams first, then clusters(name, sessions, rank, samples) of commands whose most typical one is not trivial."""
-    grams = command_ngrams(commands(messages, home)).select(F.array_join("gram", " && ").alias("name"), "gram", "sessions", "rank", F.lit(0).alias("place"))
+    grams = command_ngrams(commands(messages, home), least=least).select(F.array_join("gram", " && ").alias("name"), "gram", "sessions", "rank", F.lit(0).alias("place"))
     if clusters is not None:
         kept = clusters.filter(~is_trivial_command(F.get("samples", F.lit(0))))
         grams = grams.unionByName(kept.select("name", F.lit(None).cast("array<string>").alias("gram"), "sessions", "rank", F.lit(1).alias("place")))
@@ -204,29 +230,37 @@ def slug(name: str) -> str:
 def report_markdown(skills: list, scripts: list) -> str:
     """A report of candidates (few rows, collected)."""
     lines = []
-    for title, items in (("Skill candidates", skills), ("Script candidates", scripts)):
+    for title, items in (("Recurring prompts", skills), ("Recurring commands", scripts)):
         if items:
             lines += ["", f"# {title}"]
         for i, c in enumerate(items, 1):
             c = c.asDict() if hasattr(c, "asDict") else dict(c)
             lines += ["", f"## {i}. {c.get('name') or 'cluster-%s' % c.get('cluster')}", f"- Sessions: {c['sessions']}"]
+            if c.get("intent"):
+                lines.append(f"- Intent: {c['intent']}")
             if c.get("gram"):
-                lines.append("- Sequence: " + " → ".join(c["gram"]))
+                lines.append("- Steps: " + " → ".join(c["gram"]))
             if c.get("samples"):
-                lines += ["- Samples:", *(f"  - {s.splitlines()[0] if s else ''}" for s in c["samples"])]
+                lines += ["- Typical:", *(f"  - {s.splitlines()[0] if s else ''}" for s in c["samples"])]
     return "\n".join(lines).lstrip("\n") + "\n"
 
 
+def report_json(skills: list, scripts: list) -> str:
+    """The same candidates as JSON."""
+    plain = lambda c: c.asDict() if hasattr(c, "asDict") else dict(c)
+    return json.dumps({"prompts": [plain(c) for c in skills], "commands": [plain(c) for c in scripts]}, ensure_ascii=False, default=str, indent=2)
+
+
 def write_report(skills: list, scripts: list, folder: str) -> list[str]:
     """One file per candidate; gives their paths."""
     from pathlib import Path
 
     out = []
-    for kind, items in (("SKILL", skills), ("SCRIPT", scripts)):
+    for kind, items in (("prompt", skills), ("command", scripts)):
         for c in items:
             d = c.asDict() if hasattr(c, "asDict") else dict(c)
-            path = Path(folder) / f"{kind}-CANDIDATE-{slug(str(d.get('name') or 'cluster-%s' % d.get('cluster')))}.md"
+            path = Path(folder) / f"{kind}-{slug(str(d.get('name') or 'cluster-%s' % d.get('cluster')))}.md"
             path.parent.mkdir(parents=True, exist_ok=True)
-            path.write_text(report_markdown(*(([c], []) if kind == "SKILL" else ([], [c]))))
+            path.write_text(report_markdown(*(([c], []) if kind == "prompt" else ([], [c]))))
             out.append(str(path))
     return out

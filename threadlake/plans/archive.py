@@ -12,7 +12,6 @@ from pyspark.sql.window import Window
 from threadlake.functions import text as x
 from threadlake.functions.vector import cosine, norm, normalize
 from threadlake.operators import browse, condense, fulltext, mining, retrieval
-from threadlake.operators.search_language import parse, render
 from threadlake.schemas import coerce_kind, coerce_vendor, vendor_from_id
 from threadlake.session import table
 from threadlake.sources import transcripts
@@ -133,11 +132,6 @@ def term_statistics(s, d):
     return fulltext.postings(_messages(s, d), ["rowid"]).groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("cf"))
 
 
-@query("select * from (values ('(term1 + term2) term3', '(term1 AND term2) AND term3'), ('alpha beta', 'alpha AND beta'), ('foo -bar -baz', '(foo NOT bar) NOT baz'), ('\"exact phrase\"', '\"exact phrase\"'), ('foo | bar', '(foo OR bar)')) v(query, compiled)")
-def query_language(s, d):
-    asked = ["(term1 + term2) term3", "alpha beta", "foo -bar -baz", '"exact phrase"', "foo | bar"]
-    return s.createDataFrame([(q, render(parse(q))) for q in asked], "query string, compiled string")
-
 
 # ---- browsing ---------------------------------------------------------------------------------------------
 @query("select id, title, ended_at from sessions where vendor = 'claude' and record_kind = 'chat' order by ended_at desc nulls last, id limit 20")
@@ -438,11 +432,6 @@ def pick_k(s, d):
     return s.createDataFrame([(mining.pick_k(_unit(s, d)),)], "k int")
 
 
-@query()
-def mine_scripts(s, d):
-    return mining.mine_scripts(_messages(s, d))
-
-
 @query()
 def mine_skills(s, d):
     rows = _messages(s, d).filter("role = 'user' and kind = 'text'")
@@ -453,36 +442,11 @@ def mine_skills(s, d):
 
 
 # ---- condensing -------------------------------------------------------------------------------------------
-@query()
-def condense_sessions(s, d):
-    return condense.condense(_sessions(s, d), _messages(s, d), budget=4000)
-
-
 @query("""with b as (select session_id, count(*) n from messages where kind not in ('thinking', 'image') and not coalesce(is_sidechain, false) group by 1) select b.session_id, n::integer kept from b join sessions s on s.id = b.session_id""")
 def condense_unlimited(s, d):
     return condense.condense(_sessions(s, d), _messages(s, d), budget=2**30).select("session_id", "kept")
 
 
-# ---- sources on the raw tables ----------------------------------------------------------------------------
-@query()
-def claude_blocks(s, d):
-    rows = table(s, d, "samples").filter(F.col("type").isin("user", "assistant") & ~F.coalesce("isMeta", F.lit(False)))
-    content = F.col("message.content")
-    listed = content.rlike(r"^\s*\[\s*\{") & F.try_parse_json(content).isNotNull()
-    envelopes = rows.select(
-        F.col("sessionId").alias("session_id"), F.lit(0).alias("file_rank"), F.col("rec_id").alias("line"), F.when(listed, "ARRAY").otherwise("STRING").alias("shape"), "uuid", F.col("parentUuid").alias("parent_uuid"),
-        F.coalesce("message.role", "type").alias("role"), transcripts.set_time(F.try_to_timestamp("timestamp")).alias("timestamp"), F.coalesce("isSidechain", F.lit(False)).alias("is_sidechain"), content.alias("content"),
-    )
-    return transcripts.number_blocks(transcripts._envelope_blocks(envelopes))
-
-
-@query()
-def codex_messages(s, d):
-    rows = table(s, d, "envelopes").filter("type = 'response_item'")
-    items = rows.select(F.col("rollout_id").alias("session_id"), F.col("line_no").alias("line"), transcripts.set_time(F.try_to_timestamp("timestamp")).alias("timestamp"), F.from_json("payload", transcripts._ITEM).alias("p"))
-    return transcripts.number_blocks(transcripts.codex_items(items.filter("p is not null")))
-
-
 # ---- relational shapes at the scale of the bench ----------------------------------------------------------
 @query("select c_nationkey, count(*) orders, round(sum(o_totalprice), 2) total from orders join customer on c_custkey = o_custkey group by 1")
 def owner_rollup(s, d):

@@ -35,13 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir).
 
-    Only where the cluster names none (tests, one machine) a temporary folder is made and set.
+    Only where none is named and the master is local (tests, one machine) a temporary folder is made and set; on a cluster
+    such a folder would be another one on each machine, so that is an error.
     """
     context = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="threadlake-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 

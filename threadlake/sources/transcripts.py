@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadlake.functions.text import PAYLOAD_CAP, decode_project_dir, derive_title, epoch_to_timestamp, should_index, shrink
+from threadlake.operators.hierarchy import hierarchy
 
 _BLOCK = "array<struct<type string, text string, thinking string, name string, input string, id string, tool_use_id string, content string, is_error boolean, source string>>"
 _ENVELOPE = "type string, sessionId string, uuid string, parentUuid string, timestamp string, cwd string, gitBranch string, isSidechain boolean, isMeta boolean, aiTitle string, customTitle string, message struct<role: string, content: string>, role string"
@@ -89,7 +90,31 @@ def claude(spark: SparkSession, root: str, deep: bool = True) -> tuple[DataFrame
     The session is told by the file, not by the envelope. Title: the last custom title, else the last generated one,
     else from the first user text. Times fall back to the file's, the project to its folder.
     """
-    lines = read_lines(spark, root, "*.jsonl")
+    return claude_lines(read_lines(spark, root, "*.jsonl"), deep)
+
+
+def _claude_facts(main: DataFrame) -> DataFrame:
+    last = lambda c: F.max_by(c, F.when(F.coalesce(c, F.lit("")) != "", F.col("line")))
+    return main.groupBy("session_id").agg(
+        F.min("at").alias("first"), F.max("at").alias("latest"), last(F.col("e.cwd")).alias("cwd"), last(F.col("e.gitBranch")).alias("git_branch"), last(F.col("e.customTitle")).alias("custom"), last(F.col("e.aiTitle")).alias("ai"), F.max("mtime").alias("mtime"), F.first("path").alias("file_path")
+    )
+
+
+def _claude_project() -> Column:
+    return F.coalesce(F.nullif("cwd", F.lit("")), decode_project_dir(F.regexp_extract("file_path", r"/([^/]+)/[^/]+$", 1)))
+
+
+def claude_meta(lines: DataFrame) -> DataFrame:
+    """(id, title, project_path, git_branch, started_at, ended_at, envelopes) of main files' lines, without looking into messages; a title only where one was given."""
+    read = lines.filter(~F.col("path").contains("/subagents/")).select("path", "mtime", "line", _stem(F.col("path")).alias("session_id"), F.from_json("value", _ENVELOPE).alias("e")).filter(F.col("e").isNotNull()).withColumn("at", set_time(F.try_to_timestamp("e.timestamp")))
+    counts = read.groupBy("session_id").agg(F.count_if(F.col("e.type").isin("user", "assistant") & ~F.coalesce("e.isMeta", F.lit(False))).alias("envelopes"))
+    facts = _claude_facts(read).join(counts, "session_id")
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    return facts.select(F.col("session_id").alias("id"), F.coalesce(blank("custom"), blank("ai"), F.lit("")).alias("title"), _claude_project().alias("project_path"), F.coalesce("git_branch", F.lit("")).alias("git_branch"), F.coalesce("first", "mtime").alias("started_at"), F.coalesce("latest", "mtime").alias("ended_at"), "envelopes")
+
+
+def claude_lines(lines: DataFrame, deep: bool = True) -> tuple[DataFrame, DataFrame]:
+    """claude() of lines(path, mtime, line, value)."""
     side = F.col("path").contains("/subagents/")
     owner = F.when(side, F.coalesce(F.nullif(F.regexp_extract("path", r"/([^/]+)/subagents/", 1), F.lit("")), F.lit(""))).otherwise(_stem(F.col("path")))
     read = lines.select("path", "mtime", "line", side.alias("side"), owner.alias("session_id"), F.from_json("value", _ENVELOPE).alias("e"), _shape(F.col("value"), "$.message.content").alias("shape"))
@@ -102,11 +127,7 @@ def claude(spark: SparkSession, root: str, deep: bool = True) -> tuple[DataFrame
     )
     messages = number_blocks(_envelope_blocks(envelopes), deep)
     main = read.filter(~F.col("side"))
-    last = lambda c: F.max_by(c, F.when(F.coalesce(c, F.lit("")) != "", F.col("line")))
-    facts = main.groupBy("session_id").agg(
-        F.min("at").alias("first"), F.max("at").alias("latest"), last(F.col("e.cwd")).alias("cwd"), last(F.col("e.gitBranch")).alias("git_branch"), last(F.col("e.customTitle")).alias("custom"), last(F.col("e.aiTitle")).alias("ai"), F.max("mtime").alias("mtime"), F.first("path").alias("file_path")
-    )
-    return _sessions(facts, messages, "claude", F.coalesce(F.nullif("cwd", F.lit("")), decode_project_dir(F.regexp_extract("file_path", r"/([^/]+)/[^/]+$", 1)))), messages
+    return _sessions(_claude_facts(main), messages, "claude", _claude_project()), messages
 
 
 def _sessions(facts: DataFrame, messages: DataFrame, vendor: str, project: Column) -> DataFrame:
@@ -140,7 +161,12 @@ def link_desktop(rows: DataFrame, transcripts: DataFrame) -> DataFrame:
 
 def cursor(spark: SparkSession, root: str, deep: bool = True) -> tuple[DataFrame, DataFrame]:
     """<root>/<project>/agent-transcripts/<chat>/<chat>.jsonl and subagents; lines without times, which get the file's plus a second a line."""
-    lines = read_lines(spark, root, "*.jsonl").filter(F.col("path").contains("/agent-transcripts/"))
+    return cursor_lines(read_lines(spark, root, "*.jsonl"), deep)
+
+
+def cursor_lines(lines: DataFrame, deep: bool = True) -> tuple[DataFrame, DataFrame]:
+    """cursor() of lines(path, mtime, line, value)."""
+    lines = lines.filter(F.col("path").contains("/agent-transcripts/"))
     chat = F.regexp_extract("path", r"/agent-transcripts/([^/]+)/", 1)
     read = lines.select("path", "mtime", "line", F.col("path").contains("/subagents/").alias("is_sidechain"), F.concat(F.lit("cursor:"), chat).alias("session_id"), F.from_json("value", _ENVELOPE).alias("e"), _shape(F.col("value"), "$.message.content").alias("shape"))
     read = read.filter(F.col("e.message").isNotNull())
@@ -175,7 +201,11 @@ def codex_items(items: DataFrame) -> DataFrame:
 
 def codex(spark: SparkSession, root: str, deep: bool = True) -> tuple[DataFrame, DataFrame]:
     """Rollouts (rollout-*.jsonl): the session is named by the first session_meta line; only response items give messages."""
-    lines = read_lines(spark, root, "rollout-*.jsonl")
+    return codex_lines(read_lines(spark, root, "rollout-*.jsonl"), deep)
+
+
+def codex_lines(lines: DataFrame, deep: bool = True) -> tuple[DataFrame, DataFrame]:
+    """codex() of lines(path, mtime, line, value)."""
     read = lines.select("path", "mtime", "line", F.from_json("value", "timestamp string, type string, payload string").alias("e")).filter(F.col("e.type").isNotNull())
     read = read.select("path", "mtime", "line", "e.timestamp", "e.type", F.from_json("e.payload", _ITEM).alias("p"))
     meta = read.filter("type = 'session_meta'").groupBy("path").agg(F.min_by("p", "line").alias("m"))
@@ -218,11 +248,11 @@ def opencode(spark: SparkSession, path: str, deep: bool = True) -> tuple[DataFra
     sessions = spark.createDataFrame(session_rows, "id string, parent string, directory string, title string, created long, updated long")
     said = spark.createDataFrame(message_rows, "message_id string, sid string, m_created long, m_data string")
     parts = spark.createDataFrame(part_rows, "uuid string, message_id string, p_sid string, p_created long, data string")
-    # children of children are followed to their root
-    roots = sessions.select(F.col("id").alias("sid"), F.col("id").alias("top"), F.col("parent").alias("up"), "created", F.lit(False).alias("is_sidechain"))
-    for _ in range(8):
-        above = sessions.select(F.col("id").alias("up"), F.col("parent").alias("upper"))
-        roots = roots.join(above, "up", "left").select("sid", F.coalesce("up", "top").alias("top"), F.col("upper").alias("up"), "created", (F.col("is_sidechain") | F.col("up").isNotNull()).alias("is_sidechain"))
+    # children of any depth are followed to their root; keys are compared as they are, so not in lower case
+    places = hierarchy(sessions.select(F.hex("id").alias("sid"), F.hex("parent").alias("up")), "sid", "up", positions=False)
+    names = sessions.select("id", "created", F.lower(F.hex("id")).alias("key"))
+    tops = names.select(F.col("key").alias("top"), F.col("id").alias("top_id"))
+    roots = places.join(names, "key").join(tops, "top").select(F.col("id").alias("sid"), F.col("top_id").alias("top"), "created", (F.col("depth") > 0).alias("is_sidechain"))
     whole = parts.join(said, "message_id").join(roots, "sid")
     order = Window.partitionBy("sid").orderBy("m_created", "message_id", "p_created", "uuid")
     rows = whole.select(
@@ -277,6 +307,11 @@ def plans(spark: SparkSession, paths: list[str], cursor_plans: bool = False, tit
     if not paths:
         return spark.createDataFrame([], schema)
     files = spark.read.format("text").option("wholetext", True).load(paths).select(F.regexp_replace("_metadata.file_path", "^file:/*", "/").alias("file_path"), F.col("_metadata.file_modification_time").alias("mod_time"), F.col("value").alias("content"))
+    return plan_files(files, cursor_plans, titles)
+
+
+def plan_files(files: DataFrame, cursor_plans: bool = False, titles: dict[str, str] | None = None) -> DataFrame:
+    """plans() of files(file_path, mod_time, content)."""
     given = F.lit(None).cast("string")
     for path, title in (titles or {}).items():
         given = F.when(F.col("file_path") == path, title).otherwise(given)
