@@ -82,3 +82,12 @@ def test_postings_and_tokens(spark):
     assert got == {("aa", 1): [0, 2], ("b", 1): [1]}
     assert [r["dl"] for r in fulltext.index_tokens(df, ["rowid"]).orderBy("rowid").collect()] == [3, 0]
     assert df.select(F.size(fulltext.tokens(F.col("text")))).count() == 2
+
+
+@pytest.mark.parametrize("query", ["lease", "stale lease", "stale | parser", "lease -parser", '"stale lease"', "(lease + parser) | checkpoint", "lease lease", '"a b a" | stale', '"…" | stale', "nowhere"])
+def test_the_inverted_table_scores_like_a_scan(spark, tmp_path, query):
+    texts = ["the stale lease", "stale stale lease in the parser", "a b a b a", None, "", "Checkpoint of the parser; LEASE léase", "a b", "lease " * 30, "parser", "stale x lease"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rowid long, text string")
+    fulltext.build_index(rows, "rowid", str(tmp_path), 2)
+    want = {r["rowid"]: round(r["score"], 9) for r in fulltext.score_matches(rows, query).collect()}
+    assert {r["rowid"]: round(r["score"], 9) for r in fulltext.score_indexed(spark, str(tmp_path), "rowid", query).collect()} == want

@@ -24,12 +24,26 @@ class Engine:
         return vectors.join(self.store.read("messages").select("rowid", "session_id", "role", "kind", "timestamp"), "rowid").join(side, "session_id")
 
     def index(self, config: ingest.IndexConfig, deep: bool = True, force: bool = False) -> ingest.IndexStats:
-        return ingest.index(self.spark, self.store, config, deep, force)
+        stats = ingest.index(self.spark, self.store, config, deep, force)
+        if stats.messages:
+            self.build_search_index()
+            self.store.write("summaries", condense.sweep_orphans(self.store.read("summaries"), self.store.read("sessions")))
+        return stats
+
+    def build_search_index(self) -> None:
+        """Write the inverted table of the messages as they are now; searches use it until the messages change."""
+        fulltext.build_index(self.store.read("messages"), "rowid", self.store.search_index())
+
+    def _search_index(self) -> str | None:
+        import os
+
+        path = self.store.search_index() if os.path.exists(self.store._pointer("messages")) else None
+        return path if path and os.path.exists(f"{path}/totals/_SUCCESS") else None
 
     def search_history(self, query: str, limit: int | None = None, fuzzy: bool = False, since: str = "") -> DataFrame:
         at = parse_since(since)
         where = None if at is None else F.col("timestamp") >= F.lit(at)
-        hits = fulltext.search(self.store.read("messages"), self.store.read("sessions"), query, clamp(limit, 20, 100), fuzzy, where)
+        hits = fulltext.search(self.store.read("messages"), self.store.read("sessions"), query, clamp(limit, 20, 100), fuzzy, where, index=self._search_index())
         return fulltext.snippets(hits, query, fuzzy) if query.strip() else hits
 
     def semantic_search(self, question: str, k: int | None = None, vendor: str | None = None, project: str | None = None, since: str = "") -> DataFrame:

@@ -1,8 +1,8 @@
 """Full-text search: tokens, match, BM25 ranking, best hit per session, snippets.
 
 A query is compiled to column expressions over a token array, so a search is one scan with all filters pushed
-down; corpus statistics are one aggregation of a few numbers. index_tokens() keeps the token arrays, and
-postings() an inverted table sorted by term, whose row groups let a scan skip to the terms of a query.
+down; corpus statistics are one aggregation of a few numbers. build_index() writes an inverted table sorted by
+term, whose row groups let score_indexed() skip to the terms of a query.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -127,7 +127,6 @@ def score_matches(corpus: DataFrame, query: str, fuzzy: bool = False, text: str
     """
     tree = _unshared(parse(query, fuzzy))
     leaves = terms(tree)
-    ids = {id(t): i for i, t in enumerate(leaves)}
     distinct = list(dict.fromkeys(leaves))
     toks = corpus.withColumn("_t", tokens(F.col(text)))
     stats = toks.agg(
@@ -139,6 +138,12 @@ def score_matches(corpus: DataFrame, query: str, fuzzy: bool = False, text: str
     for word in dict.fromkeys(_needed(tree)):
         rows = rows.filter(F.array_contains("_t", word))
     counted = rows.select(*corpus.columns, F.size("_t").alias("_dl"), *(_count(t, F.col("_t")).alias(f"_f{i}") for i, t in enumerate(distinct)))
+    return _ranked(tree, leaves, distinct, counted, stats, corpus.columns)
+
+
+def _ranked(tree, leaves: list, distinct: list, counted: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:
+    """Those of counted(columns, _dl, _f0, ...) that match, with their score; stats is one row of _n, _len, _df0, ..."""
+    ids = {id(t): i for i, t in enumerate(leaves)}
     hits = {ids[id(t)]: F.col(f"_f{distinct.index(t)}") for t in leaves}
     matched = counted.filter(_match(tree, hits, ids)).crossJoin(F.broadcast(stats))  # one row of numbers
     gain = {}
@@ -148,7 +153,58 @@ def score_matches(corpus: DataFrame, query: str, fuzzy: bool = False, text: str
         idf = F.log((F.col("_n") - df + 0.5) / (df + 0.5))
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         gain[ids[id(t)]] = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / (F.col("_len") / F.col("_n"))))
-    return matched.select(*corpus.columns, (-_score(tree, gain, hits, ids)).alias("score"))
+    return matched.select(*columns, (-_score(tree, gain, hits, ids)).alias("score"))
+
+
+def build_index(messages: DataFrame, key: str, path: str, partitions: int = 64) -> None:
+    """Write the inverted table of messages to a folder: postings(term, key, positions) sorted by term, lengths(key, dl), totals(n, len)."""
+    write_postings(postings(messages, [key]), f"{path}/postings", partitions)
+    messages.select(key, F.size(tokens(F.col("text"))).alias("dl")).sort(key).write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths = messages.sparkSession.read.parquet(f"{path}/lengths")
+    lengths.agg(F.count("*").cast("double").alias("_n"), F.sum("dl").cast("double").alias("_len")).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def _placed(term: Term, found: Column) -> Column:
+    """How often the term occurs, from found: an array of (term, positions) of a row."""
+    parts = words(term.text)
+    if not parts:
+        return F.lit(0)
+
+    def begins(k: int) -> Column:
+        """Where the term would begin by the places of its k-th word."""
+        open_ = term.prefix and k == len(parts) - 1
+        mine = F.filter(found, lambda p: p["term"].startswith(parts[k]) if open_ else p["term"] == parts[k])
+        return F.transform(F.flatten(F.transform(mine, lambda p: p["positions"])), lambda i: i - k)
+
+    places = [begins(k) for k in range(len(parts))]
+    if len(places) == 1:
+        return F.size(places[0])
+    whole = places[0]
+    for p in places[1:]:
+        whole = F.array_intersect(whole, p)
+    return F.size(whole)
+
+
+def score_indexed(spark: SparkSession, path: str, key: str, query: str, fuzzy: bool = False) -> DataFrame:
+    """(key, score) of the rows that match, as score_matches() on the indexed table; only the terms of the query are read."""
+    tree = _unshared(parse(query, fuzzy))
+    leaves = terms(tree)
+    distinct = list(dict.fromkeys(leaves))
+    whole, open_ = set(), set()
+    for t in distinct:
+        parts = words(t.text)
+        whole.update(parts[:-1] if t.prefix else parts)
+        open_.update(parts[-1:] if t.prefix else [])
+    wanted = F.col("term").isin(*whole) if whole else F.lit(False)
+    for p in open_:
+        wanted |= F.col("term").startswith(p)
+    read = spark.read.parquet(f"{path}/postings").filter(wanted)
+    found = read.groupBy(key).agg(F.collect_list(F.struct("term", "positions")).alias("_found"))  # one entry a term of the query and row
+    counted = found.select(key, *(_placed(t, F.col("_found")).alias(f"_f{i}") for i, t in enumerate(distinct)))
+    df = counted.agg(*(F.count_if(F.col(f"_f{i}") > 0).cast("double").alias(f"_df{i}") for i in range(len(distinct))))
+    stats = spark.read.parquet(f"{path}/totals").crossJoin(F.broadcast(df))  # one row each
+    placed = counted.join(spark.read.parquet(f"{path}/lengths").withColumnRenamed("dl", "_dl"), key)
+    return _ranked(tree, leaves, distinct, placed, stats, [key])
 
 
 def best_per(scored: DataFrame, owner: str, tie: list[str], limit: int = DEFAULT_LIMIT, pool: int | None = POOL) -> DataFrame:
@@ -163,23 +219,23 @@ def best_per(scored: DataFrame, owner: str, tie: list[str], limit: int = DEFAULT
     return scored.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r").orderBy("score", *tie).limit(limit)
 
 
-def search(messages: DataFrame, sessions: DataFrame, query: str, limit: int = DEFAULT_LIMIT, fuzzy: bool = False, where: Column | None = None, pool: int | None = POOL, key: str = "rowid") -> DataFrame:
-    """One hit per session: session columns, the message's key and text, and score. A blank query gives no rows."""
+def search(messages: DataFrame, sessions: DataFrame, query: str, limit: int = DEFAULT_LIMIT, fuzzy: bool = False, where: Column | None = None, pool: int | None = POOL, key: str = "rowid", index: str | None = None) -> DataFrame:
+    """One hit per session: session columns, the message's key and text, and score. A blank query gives no rows.
+
+    index: the folder of build_index() on the same messages; then only the query's terms are read, and the messages that match.
+    """
     names = [c for c in ("title", "project_path", "started_at", "ended_at", "vendor", "record_kind") if c in sessions.columns]
     side = sessions.select(F.col("id").alias("session_id"), *names)
     if not query.strip():
         return messages.limit(0).join(side, "session_id").withColumn("score", F.lit(0.0))
-    scored = score_matches(messages, query, fuzzy, where=where)
+    if index:
+        scored = score_indexed(messages.sparkSession, index, key, query, fuzzy).join(messages if where is None else messages.filter(where), key)
+    else:
+        scored = score_matches(messages, query, fuzzy, where=where)
     hits = best_per(scored, "session_id", [key], limit, pool)
     return hits.join(side, "session_id", "inner").orderBy("score", key)
 
 
-def index_tokens(messages: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, tokens and their number, to be written beside the messages."""
-    toks = messages.select(*keys, tokens(F.col("text")).alias("tokens"))
-    return toks.withColumn("dl", F.size("tokens"))
-
-
 def postings(messages: DataFrame, keys: list[str]) -> DataFrame:
     """(term, keys..., positions): the inverted table; write it sorted by term within range partitions."""
     exploded = messages.select(*keys, F.posexplode(tokens(F.col("text"))).alias("pos", "term"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from threadlake.session import cut, partitions_for
+from threadlake.session import cut, partitions_for, small
 
 CHUNK = 200_000  # links contracted by one task at a time
 SINGLE = 400_000  # so many links are ranked by one task
@@ -224,7 +224,7 @@ def euler_tour(nodes: DataFrame) -> DataFrame:
     the order of their ids.
     """
     child = nodes.filter(F.col("pid").isNotNull()).select("id", "pid")
-    hot = F.broadcast(child.groupBy("pid").count().filter(F.col("count") > HOT_CHILDREN).select("pid", F.lit(True).alias("hot")))  # at most rows / HOT_CHILDREN of them
+    hot = small(child.groupBy("pid").count().filter(F.col("count") > HOT_CHILDREN).select("pid", F.lit(True).alias("hot")))
     child = child.join(hot, "pid", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
     part = Window.partitionBy("pid", "salt").orderBy("id")
     child = child.select("id", "pid", "salt", "hot", F.lead("id").over(part).alias("next"), (F.row_number().over(part) == 1).alias("head"))
@@ -232,7 +232,7 @@ def euler_tour(nodes: DataFrame) -> DataFrame:
     order = Window.partitionBy("pid").orderBy("salt")  # at most SALTS rows a parent
     heads = heads.select("pid", "salt", F.lead("id").over(order).alias("next_part"), (F.row_number().over(order) == 1).alias("first_part"))
     child = cut(
-        child.join(F.broadcast(heads), ["pid", "salt"], "left").select(
+        child.join(small(heads), ["pid", "salt"], "left").select(
             "id", "pid", F.coalesce("next", "next_part").alias("next"), (F.col("head") & F.coalesce("first_part", F.lit(True))).alias("first")
         ),
         "siblings",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from threadlake.functions import text as x
 from threadlake.functions.vector import cosine, norm, normalize
 from threadlake.operators import browse, condense, fulltext, mining, retrieval
 from threadlake.schemas import coerce_kind, coerce_vendor, vendor_from_id
-from threadlake.session import table
+from threadlake.session import scratch_dir, table
 from threadlake.sources import transcripts
 from threadlake.sources.store import changed, upsert
 
@@ -101,6 +102,24 @@ def _bm25(terms: list[str], owner: str = "") -> str:
     return f"{_TOK}, st as (select count(*)::double n, sum(len(tk))::double total, {df} from t), h as (select rowid, session_id, -({' + '.join(part(i, t) for i, t in enumerate(terms))}) score from t, st where {' and '.join(f'{_count(t)} > 0' for t in terms)})"
 
 
+def _index(s: SparkSession, d: str) -> str:
+    """The inverted table of messages, in the shared folder; an engine keeps it beside its tables."""
+    path = f"{scratch_dir(s)}/threadlake-index-{uuid.uuid4().hex}"
+    fulltext.build_index(_messages(s, d), "rowid", path)
+    return path
+
+
+@query(_bm25(["stale", "lease"]) + " select rowid, round(score, 6) score from h order by round(score, 9), rowid limit 20")
+def search_indexed_topk(s, d):
+    hits = fulltext.score_indexed(s, _index(s, d), "rowid", "stale lease")
+    return hits.orderBy(F.round("score", 9), "rowid").limit(20).select("rowid", F.round("score", 6).alias("score"))
+
+
+@query(f"{_TOK} select rowid from t where list_contains(list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1]), 'connection reset') and not list_contains(tk, 'line')")
+def search_indexed_phrase(s, d):
+    return fulltext.score_indexed(s, _index(s, d), "rowid", '"connection reset" -line').select("rowid")
+
+
 @query(_bm25(["stale", "lease"]) + " select rowid, round(score, 6) score from h order by round(score, 9), rowid limit 20")
 def search_bm25_topk(s, d):
     hits = fulltext.score_matches(_messages(s, d), "stale lease").select("rowid", "score")

@@ -84,5 +84,25 @@ def p7_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _times(spark, sf_dir, {})
 
 
-QUERIES = {"p2_found": p2_found, "p2_tree_sizes": p2_tree_sizes, "p2_paths": p2_paths, "p7_found": p7_found, "p7_times": p7_times}
-SQL: dict[str, str] = {}
+def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p2_tree_sizes of records neither on a circle nor below one, without the places in the tour, which SQL does not have."""
+    return p2_tree_sizes(spark, sf_dir).filter("kind <> 'circle'").drop("entry", "exit")
+
+
+QUERIES = {"p2_found": p2_found, "p2_tree_sizes": p2_tree_sizes, "p2_sizes": p2_sizes, "p2_paths": p2_paths, "p7_found": p7_found, "p7_times": p7_times}
+_TRIM = "nullif(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '')"
+# up(src, key, anc): all ancestors, circles closed; what is its own ancestor stands on a circle
+_CLOSED = f"""with recursive r as (select 'samples' src, {_TRIM.format("uuid")} as "key", {_TRIM.format('"parentUuid"')} p from samples union all select 'messages', {_TRIM.format("uuid")}, {_TRIM.format("parent_uuid")} from messages),
+n as (select src, key, min(p) p from r where key is not null group by src, key),
+e as (select a.src, a.key, a.p from n a join n b on b.src = a.src and b.key = a.p),
+up as (select src, key, p anc from e union select up.src, up.key, e.p from up join e on e.src = up.src and e.key = up.anc),
+ring as (select src, key from up where key = anc),
+circle as (select r.src, r.key, min(up.anc) least from ring r join up on up.src = r.src and up.key = r.key group by all),
+facts as (select n.src, n.key, n.p, c.least own, any_value(u.least) above, count(up.anc) n, count(u.key) on_circle from n left join circle c on c.src = n.src and c.key = n.key left join up on up.src = n.src and up.key = n.key left join circle u on u.src = up.src and u.key = up.anc group by all),
+tops as (select f.src, f.key, g.key as top, g.p is not null orphan from facts f left join up on up.src = f.src and up.key = f.key join facts g on g.src = f.src and g.n = 0 and g.key = case when f.n = 0 then f.key else up.anc end where f.own is null and f.on_circle = 0),
+told as (select f.src, f.key, coalesce(f.own, f.above, t.top) top, case when f.own is not null then 0 else f.n - f.on_circle + (f.on_circle > 0)::integer end::integer depth, case when f.own is not null or f.above is not null then 'circle' when t.orphan then 'orphan' else 'root' end kind from facts f left join (select distinct * from tops) t on t.src = f.src and t.key = f.key)"""
+SQL: dict[str, str] = {
+    "p2_found": f"{_CLOSED} select src, key as uuid, top as top_uuid, depth from told where kind <> 'root' or depth >= {DEEP}",
+    "p2_paths": f"{_CLOSED} select up.src, up.key, anc as ancestor, told.depth as ancestor_depth from up join told on told.src = up.src and told.key = anc join told t on t.src = up.src and t.key = up.key where t.kind <> 'circle' or (t.depth > 0 and told.depth > 0) union all select x.src, y.key, n.p, 0 from told x join n on n.src = x.src and n.key = x.key join (select src, key, key a from told union all select src, key, anc from up) y on y.src = x.src and y.a = x.key where x.kind = 'circle' and x.depth = 1",
+    "p2_sizes": f"{_CLOSED}, below as (select src, anc as key, count(*) d from up group by all) select told.src, told.key, top, depth, kind, coalesce(d, 0) descendants from told left join below on below.src = told.src and below.key = told.key where kind <> 'circle'",
+}

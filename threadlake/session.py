@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -64,6 +65,12 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df for the side of a join that is broadcast if it has at most `most` rows, and joined by a shuffle beyond; it is written and counted once."""
+    held = cut(df, "small")
+    return F.broadcast(held) if held.count() <= most else held
+
+
 def _sweep() -> None:
     for spark, path in _written:
         try:

@@ -40,6 +40,11 @@ class Store:
             got = self.spark.read.parquet(f"{self.root}/{name}/{f.read().strip()}").drop("bucket")
         return migrate(got, name)
 
+    def search_index(self) -> str:
+        """Where the inverted table of the current messages stands, or is to be built."""
+        with open(self._pointer("messages")) as f:
+            return f"{self.root}/search/{f.read().strip()}"
+
     def write(self, name: str, rows: DataFrame) -> None:
         """Replace a table as a whole; the version before the last is removed."""
         schema = schemas.schema(TABLES[name])
