@@ -306,6 +306,29 @@ def test_loose_groups_are_split_around_medoids(spark):
     assert sorted(map(len, got.values())) in ([12, 15], [13, 14])
 
 
+def pairs_at(cosines, dim=96, seed=31):
+    """Pairs of vectors with these cosines, each pair near no other."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for c in cosines:
+        x, e = rng.normal(size=(2, dim))
+        x /= np.linalg.norm(x)
+        e -= (e @ x) * x
+        out += [x, c * x + np.sqrt(1 - c * c) * e / np.linalg.norm(e)]
+    return np.array(out)
+
+
+def test_buckets_are_the_same_at_any_number_of_rows(spark):
+    x = pairs_at([0.7401] * 300)
+    df = spark.createDataFrame([("m", i, [float(v) for v in r]) for i, r in enumerate(x)], "model string, id long, vector array<double>")
+    few, many = ({r["id"]: tuple(r["buckets"]) for r in clusters.minhash_rows(df, n, 0.74).collect()} for n in (600, 3_000_000))
+    assert few == many
+    assert sum(bool(set(few[2 * k]) & set(few[2 * k + 1])) for k in range(300)) >= 0.97 * 300
+    # what a table of millions costs: few buckets for a vector, and few random vectors in each
+    assert max(map(len, many.values())) <= 30
+    assert np.mean([len(set(few[2 * k]) & set(few[2 * k + 3])) for k in range(298)]) < 0.1
+
+
 @pytest.mark.parametrize("merged", [400_000, 5])
 def test_components(spark, monkeypatch, merged):
     monkeypatch.setattr(clusters, "MERGED", merged)

@@ -1,18 +1,17 @@
 """Clusters of mutually similar records, with their size and most typical members.
 
-Each vector becomes a set: for every random hyperplane, the side it lies on. Bands of MinHash values of these
-sets propose candidates; all records of a bucket are compared by the exact Jaccard similarity of their sets, in blocks,
-and each block gives forests that connect its candidates, not their pairs. The cosine verifies the links of the forests.
-The verified links' connected components are the groups. A group whose members are not mutually similar is split
+Every vector gets a number of min-wise hashes for angles: of WIDTH random directions the nearest. Vectors of a model that share
+one are compared, all with all, in blocks. These bands are the same at any size of the table, and their number follows from the
+least cosine: a pair at it shares one with the chance RECALL, a nearer pair more often. As each member of a cluster is linked to
+half or more of the others, a cluster comes out whole where single links are missed. A block gives forests that connect
+what it found, not pairs; links too near the least cosine to be told from rounded vectors are verified by exact ones.
+The links' connected components are the groups. A group whose members are not mutually similar is split
 around the member with the most links. Equal vectors are one record until the end.
-
-Up to EXACT different vectors all pairs of a model are compared instead, block by block, and each task gives links enough
-to connect what it found: at so low a cosine as 0.74 the bands cost more than that, and still leave links to chance (see
-README for the figures of both).
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -26,120 +25,152 @@ from pyspark.sql.window import Window
 
 from threadlake.functions.vector import cosine as similarity
 from threadlake.llm.vectors import by_length, hash_name, matrix, pair_cosines, usable_vectors
-from threadlake.session import cut, partitions_for, table
+from threadlake.session import cut, partitions_for, small, table
 
 COSINE, SMALLEST, SESSIONS, TYPICAL = 0.74, 10, 3, 5
-EXACT = 200_000  # different vectors up to which all pairs of a model are compared
-PLANES = 256
-MEET = 64  # random records that a bucket holds, from which the length of bands follows
-MET = 2.0  # bands that a pair at the least cosine is expected to share
-FORESTS = 3  # edge-disjoint forests of the candidates of a block
-BLOCK = 2_000
+EXACT = 0  # not read any more: one method at every size; tests still set it
+WIDTH = 512  # random directions of a band
+RECALL = 0.99  # of pairs at the least cosine, from which the number of bands follows
+BLOCK = 8_000  # vectors of a bucket in a block
+SLOT = 20_000  # vectors of buckets that a task gets at once, about
+HASHED = 4_000  # vectors hashed by one task
+STEPS = 32_767  # of a coordinate of a vector of length 1, while it is compared in buckets
 MERGED = 400_000  # links merged by one task
 WIDE = 8_000  # vectors in a block of vectors
 SEED = 20250202
 
 
-def _match(cosine: float) -> float:
-    return 1 - math.acos(cosine) / math.pi
-
-
-def _jaccard(match: float) -> float:
-    return match / (2 - match)
-
-
-_SIDES = [f"side{i}" for i in range(PLANES // 64)]
+@functools.cache
+def band_success(cosine: float, width: int, pairs: int = 20_000) -> float:
+    """How often a band finds a pair at the cosine, by simulating its products with the directions (for these, any dimension is alike)."""
+    rng, same = np.random.default_rng(SEED), 0
+    for _ in range(pairs // 500):
+        x = rng.standard_normal((500, width), np.float32)
+        y = cosine * x + math.sqrt(1 - cosine * cosine) * rng.standard_normal((500, width), np.float32)
+        same += int((x.argmax(axis=1) == y.argmax(axis=1)).sum())
+    return min(max(same / pairs, 1 / width), 0.99)
 
 
-def band_shape(rows: int, cosine: float) -> tuple[int, int]:
-    """MinHash values in a band, and bands: MEET random records (of Jaccard 1/3) share a bucket, and a pair at the cosine is expected to share MET."""
-    per_band = max(1, round(math.log(max(rows, 1) / MEET, 3))) if rows > MEET else 1
-    return per_band, math.ceil(MET / _jaccard(_match(cosine)) ** per_band)
+def band_count(cosine: float) -> int:
+    """Bands, so that RECALL of the pairs at the cosine share a bucket, whatever the number of vectors."""
+    return math.ceil(math.log(1 - RECALL) / math.log1p(-band_success(cosine, WIDTH)))
 
 
 def minhash_rows(vectors: DataFrame, rows: int, cosine: float) -> DataFrame:
-    """(id, bucket, sides as longs): for each band of each vector(id, model, vector) its bucket."""
-    per_band, bands = band_shape(rows, cosine)
+    """(id, part, code, buckets): for each vector(id, model, vector) its bucket in each band, and its coordinates in STEPS.
+
+    Parts are the models and lengths. The buckets don't depend on other vectors; `rows` is for the number of tasks only.
+    """
+    bands = band_count(cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        axes: dict[int, np.ndarray] = {}
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 for batch in by_length(whole.slice(start, 1000), "vector"):
                     x = matrix(batch["vector"])
                     n, dim = x.shape
-                    side = (x @ np.random.default_rng((SEED, dim)).standard_normal((dim, PLANES)) > 0).astype(np.uint8)
-                    packed = np.packbits(side, axis=1).view(">i8").astype(np.int64)
-                    seeds = np.array([hash_name(f"{v}:{dim}") for v in batch["model"].to_pylist()], np.int64)
-                    rng = np.random.default_rng((SEED, 1))
-                    for band in range(bands):
-                        key = seeds + band * 7919
-                        for _ in range(per_band):
-                            order = rng.permutation(2 * PLANES).astype(np.int16)
-                            # the set holds one side of every plane
-                            least = np.where(side, order[1::2], order[::2]).min(axis=1).astype(np.int64)
-                            key = key * 6364136223846793005 + least + 1442695040888963407
-                        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(key), *(pa.array(packed[:, i]) for i in range(len(_SIDES)))], ["id", "bucket", *_SIDES])
-
-    return vectors.select("id", "model", "vector").mapInArrow(run, "id long, bucket long, " + ", ".join(f"{c} long" for c in _SIDES))
-
-
-def _signs(got: pa.Table) -> np.ndarray:
-    """Sides as +1 and -1, so that a product counts the planes two records agree on."""
-    packed = np.stack([got[c].to_numpy() for c in _SIDES], axis=1).astype(">i8")
-    return np.unpackbits(packed.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
-
-
-def proposed_links(rows: DataFrame, floor: float) -> DataFrame:
-    """Distinct (a, b), a < b, of records of a bucket whose sets' exact Jaccard similarity is at least floor, enough to connect all that are.
-
-    All records of a bucket are compared, in blocks of BLOCK by BLOCK, each by a task of its own. A block gives
-    FORESTS forests without common links, so that what they connect stays connected when the cosine refuses some.
+                    if dim not in axes:
+                        if len(axes) == 8:
+                            axes.clear()
+                        axes[dim] = np.random.default_rng((SEED, dim)).standard_normal((bands, dim, WIDTH), np.float32)
+                    narrow = x.astype(np.float32)
+                    buckets = np.stack([(narrow @ axes[dim][k]).argmax(axis=1) + k * WIDTH for k in range(bands)], axis=1).astype(np.int32)
+                    code = np.rint(x * STEPS).astype("<i2")
+                    parts = pa.array([hash_name(f"{v}:{dim}") for v in batch["model"].to_pylist()], pa.int64())
+                    at = pa.array(np.arange(n + 1, dtype=np.int32) * bands)
+                    codes = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * (2 * dim)), pa.py_buffer(code.tobytes())])
+                    yield pa.RecordBatch.from_arrays([batch["id"], parts, codes, pa.ListArray.from_arrays(at, pa.array(buckets.ravel()))], ["id", "part", "code", "buckets"])
+
+    spread = vectors.select("id", "model", "vector").repartition(partitions_for(rows, HASHED, vectors.sparkSession), "id")
+    return spread.mapInArrow(run, "id long, part long, code binary, buckets array<int>")
+
+
+def _block_links(x: np.ndarray, y: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that connect what the pairs of x and y (or of x) surely of the cosine connect, and all pairs too near it to tell, of those not connected so; j counts on from the last of x."""
+    slack = 1.01 * math.sqrt(x.shape[1]) / STEPS + x.shape[1] * 2e-7  # of rounding, and of sums in single precision
+    n, other = len(x), x if y is None else y
+    near, doubt = np.zeros((n, len(other)), bool), [np.zeros((0, 2), np.int64)]
+    rows, columns = np.zeros(n, bool), np.zeros(len(other), bool)
+    for k in range(0, n, 250):
+        after = k if y is None else 0
+        c = x[k : k + 250] @ other[after:].T
+        i, j = np.nonzero(c >= cosine - slack)
+        if y is None:
+            i, j = i[i < j], j[i < j]  # pairs once, none with itself
+        sure = c[i, j] >= cosine + slack
+        doubt.append(np.stack([k + i[~sure], after + j[~sure]], axis=1))
+        i, j = k + i[sure], after + j[sure]
+        near[i, j] = rows[i] = columns[j] = True
+    ends = np.concatenate(doubt)
+    if y is None:
+        at = np.flatnonzero(rows | columns)
+        some = near[np.ix_(at, at)]
+        links = at[np.array(_spanning(some | some.T, True), np.int64).reshape(-1, 2)]
+    else:
+        at, to = np.flatnonzero(rows), np.flatnonzero(columns)
+        links = np.concatenate([at, n + to])[np.array(_spanning(near[np.ix_(at, to)], False), np.int64).reshape(-1, 2)]
+        ends[:, 1] += n
+    if len(ends):
+        group = _labels(links, n + (0 if y is None else len(y)))
+        ends = ends[group[ends[:, 0]] != group[ends[:, 1]]]
+    return links, ends
+
+
+def _labels(links: np.ndarray, n: int) -> np.ndarray:
+    """For each of n the least that links connect it with."""
+    up = list(range(n))
+    for i, j in links.tolist():
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        while up[j] != j:
+            up[j] = j = up[up[j]]
+        up[max(i, j)] = min(i, j)
+    for k in range(n):
+        up[k] = up[up[k]]
+    return np.array(up)
+
+
+def proposed_links(hashed: DataFrame, rows: int, cosine: float) -> DataFrame:
+    """(a, b, sure) of hashed(id, part, code, buckets), enough to connect what all pairs of a bucket with the cosine connect; those not sure are to be verified.
+
+    All vectors of a bucket are compared, in blocks of BLOCK by BLOCK.
     """
-    least = 2 * floor / (1 + floor) * PLANES  # planes agreed on, by the Jaccard similarity
-
-    def link(got: pa.Table, theirs: pa.Table | None) -> pa.Table:
-        x, y = _signs(got), None if theirs is None else _signs(theirs)
-        near = (x @ (x if y is None else y).T + PLANES) / 2 >= least
-        ids = got["id"].to_numpy() if theirs is None else np.concatenate([got["id"].to_numpy(), theirs["id"].to_numpy()])
-        ends = np.array(_forests(near, y is None), np.int64).reshape(-1, 2)
-        a, b = ids[ends[:, 0]], ids[ends[:, 1]]
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    counts = rows.groupBy("bucket").count().filter("count > 1")
-    numbered = rows.join(counts, "bucket").withColumn("blocks", F.ceil(F.col("count") / BLOCK))
-    numbered = numbered.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    spark = hashed.sparkSession
+    slots = max(spark.sparkContext.defaultParallelism, rows * band_count(cosine) // SLOT)
+    each = hashed.select("part", "id", "code", F.explode("buckets").alias("bucket"))
+    counts = each.groupBy("part", "bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("count")).filter("count > 1").drop("count")
+    numbered = each.join(small(counts), ["part", "bucket"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     spread = numbered.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("bucket", "id", *_SIDES, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("mine"))
-
-    def of_block(got: pa.Table) -> pa.Table:
-        got = got.combine_chunks()
-        if got["i"][0].as_py() == got["j"][0].as_py():
-            return link(got, None)
-        mine, theirs = got.filter(got["mine"]), got.filter(pa.compute.invert(got["mine"]))
-        if not mine.num_rows or not theirs.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        return link(mine, theirs)
-
-    return spread.groupBy("bucket", "i", "j").applyInArrow(of_block, "a long, b long").filter("a <> b").distinct()
-
-
-def _forests(near: np.ndarray, within: bool) -> list[tuple[int, int]]:
-    """Links (i, j) of FORESTS forests without common links of near; j counts on from the rows where the columns are other records."""
-    n, links = len(near), []
-    if within:
-        np.fill_diagonal(near, False)
-    for _ in range(FORESTS):
-        found = _spanning(near, within)
-        if not found:
-            break
-        links += found
-        i, j = np.array(found).T
-        if within:
-            near[i, j] = near[j, i] = False
-        else:
-            row, column = np.minimum(i, j), np.maximum(i, j) - n
-            near[row, column] = False
-    return links
+    key = F.xxhash64("part", "bucket", F.least("block", "other"), F.greatest("block", "other"))
+    spread = spread.select(key.alias("key"), "id", "code", (F.col("block") <= F.col("other")).alias("mine")).withColumn("slot", F.pmod("key", F.lit(slots)))
+
+    def of_slot(got: pa.Table) -> pa.Table:
+        order = np.lexsort((~got["mine"].to_numpy(), got["key"].to_numpy()))
+        keys, ids, mine = (got[c].to_numpy()[order] for c in ("key", "id", "mine"))
+        codes, parts = got["code"].combine_chunks().take(pa.array(order)), []
+        at, flat = (np.frombuffer(v, t) for v, t in zip(codes.buffers()[1:], ("<i4", "<i2")))
+        borders = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for first, end in zip(borders, borders[1:]):
+            last = first + int(mine[first:end].sum())  # of one block, followed by the other
+            if end - first < 2 or last == first:
+                continue
+            block = flat[at[first] // 2 : at[end] // 2].reshape(end - first, -1).astype(np.float32) / np.float32(STEPS)
+            links, doubt = _block_links(block[: last - first], block[last - first :] if last < end else None, cosine)
+            place = ids[first:end]
+            parts += [(place[links], True), (place[doubt], False)]
+        ends = np.concatenate([p for p, _ in parts] or [np.zeros((0, 2), np.int64)])
+        sure = np.concatenate([np.full(len(p), s) for p, s in parts] or [np.zeros(0, bool)])
+        return pa.table({"a": pa.array(ends.min(axis=1), pa.int64()), "b": pa.array(ends.max(axis=1), pa.int64()), "sure": pa.array(sure, pa.bool_())})
+
+    return spread.groupBy("slot").applyInArrow(of_slot, "a long, b long, sure boolean")
+
+
+def verified_links(links: DataFrame, named: DataFrame, cosine: float) -> DataFrame:
+    """(a, b) of links(a, b, sure) that are sure, or whose vectors, in named(gid, vector), have the cosine."""
+    links = cut(links, "links")
+    doubt = small(links.filter("not sure").select("a", "b").distinct())
+    return links.filter("sure").select("a", "b").unionByName(pair_cosines(doubt, named).filter(F.col("cosine") >= cosine).select("a", "b"))
 
 
 def _union(batches: Iterator[pd.DataFrame], edges: bool) -> Iterator[pd.DataFrame]:
@@ -164,15 +195,6 @@ def _union(batches: Iterator[pd.DataFrame], edges: bool) -> Iterator[pd.DataFram
     yield pd.DataFrame(kept, columns=["a", "b"], dtype=np.int64)
 
 
-def spanning_links(links: DataFrame, rows: int) -> DataFrame:
-    """Links enough to connect what links(a, b) connect, few of them redundant."""
-    spark = links.sparkSession
-    for level in (1, 8):
-        parts = max(1, partitions_for(rows, 500_000, spark) // level)
-        links = links.repartition(parts, "a").mapInPandas(lambda it: _union(it, True), "a long, b long")
-    return links
-
-
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, component) of all ends of links(a, b); component is the smallest id in it.
 
@@ -203,24 +225,6 @@ def _stars(now: DataFrame, done: bool) -> DataFrame:
     return now
 
 
-def verified_groups(pairs: DataFrame, named: DataFrame, cosine: float) -> DataFrame:
-    """(id, component) by those of the candidate pairs(a, b) whose vectors, in named(gid, vector), have the cosine.
-
-    In each round only links enough to connect the candidates are verified; pairs that connect different
-    groups still are the candidates of the next round, so the groups are those of all verified pairs.
-    """
-    pairs, good = cut(pairs, "pairs"), None
-    while (rows := pairs.count()) or good is None:
-        checked = cut(pair_cosines(spanning_links(pairs, rows), named), "checked")
-        new = checked.filter(F.col("cosine") >= cosine).select("a", "b")
-        good = new if good is None else good.unionByName(new)
-        groups = cut(connected_components(good), "components")
-        side = lambda k: groups.select(F.col("id").alias(k), F.col("component").alias(f"c_{k}"))  # noqa: B023, E731
-        left = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-        pairs = cut(left.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"), "pairs")
-    return groups
-
-
 def _spanning(near: np.ndarray, within: bool) -> list[tuple[int, int]]:
     """Links (i, j) of a forest that connects what near connects; without `within` columns are other records, and j counts on from the rows."""
     n = len(near)
@@ -333,13 +337,8 @@ def cluster_vectors(vectors: DataFrame, cosine: float = COSINE, smallest: int =
     copies = cut(same.join(firsts, ["model", "h", "g"]).select("id", "model", "first", "weight"), "copies")
     vectors = cut(vectors.join(copies.filter("id = first").select("id", "weight"), "id"), "distinct")
     rows = vectors.count()
-    floor = _match(cosine)
-    floor = _jaccard(floor - 3.5 * math.sqrt(floor * (1 - floor) / PLANES))
-    if rows <= EXACT:
-        groups = cut(connected_components(exact_links(vectors.select("id", F.col("model").alias("part"), "vector"), cosine)), "groups")
-    else:
-        links = proposed_links(cut(minhash_rows(vectors, rows, cosine), "bands"), floor)
-        groups = verified_groups(links, vectors.select(F.col("id").alias("gid"), "vector"), cosine)
+    links = proposed_links(cut(minhash_rows(vectors, rows, cosine), "hashed"), rows, cosine)
+    groups = cut(connected_components(verified_links(links, vectors.select(F.col("id").alias("gid"), "vector"), cosine)), "groups")
     alone = vectors.filter(F.col("weight") >= smallest).select("id", F.col("id").alias("component")).join(groups, "id", "left_anti")
     groups = cut(groups.unionByName(alone), "groups")
     done = None
