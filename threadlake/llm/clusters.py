@@ -82,7 +82,9 @@ def minhash_rows(vectors: DataFrame, rows: int, cosine: float) -> DataFrame:
                     codes = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * (2 * dim)), pa.py_buffer(code.tobytes())])
                     yield pa.RecordBatch.from_arrays([batch["id"], parts, codes, pa.ListArray.from_arrays(at, pa.array(buckets.ravel()))], ["id", "part", "code", "buckets"])
 
-    spread = vectors.select("id", "model", "vector").repartition(partitions_for(rows, HASHED, vectors.sparkSession), "id")
+    spread, tasks = vectors.select("id", "model", "vector"), partitions_for(rows, HASHED, vectors.sparkSession)
+    if spread.rdd.getNumPartitions() < min(tasks, vectors.sparkSession.sparkContext.defaultParallelism):
+        spread = spread.repartition(tasks, "id")
     return spread.mapInArrow(run, "id long, part long, code binary, buckets array<int>")
 
 
@@ -143,11 +145,13 @@ def proposed_links(hashed: DataFrame, rows: int, cosine: float) -> DataFrame:
     numbered = each.join(small(counts), ["part", "bucket"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     spread = numbered.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     key = F.xxhash64("part", "bucket", F.least("block", "other"), F.greatest("block", "other"))
-    spread = spread.select(key.alias("key"), "id", "code", (F.col("block") <= F.col("other")).alias("mine")).withColumn("slot", F.pmod("key", F.lit(slots)))
+    key = F.shiftleft(key, 1) + (F.col("block") > F.col("other")).cast("long")  # odd: of the other block
+    spread = spread.select(key.alias("key"), "id", "code").withColumn("slot", F.pmod(F.shiftright("key", 1), F.lit(slots)))
 
     def of_slot(got: pa.Table) -> pa.Table:
-        order = np.lexsort((~got["mine"].to_numpy(), got["key"].to_numpy()))
-        keys, ids, mine = (got[c].to_numpy()[order] for c in ("key", "id", "mine"))
+        order = np.argsort(got["key"].to_numpy())
+        keys, ids = (got[c].to_numpy()[order] for c in ("key", "id"))
+        keys, mine = keys >> 1, keys % 2 == 0
         codes, parts = got["code"].combine_chunks().take(pa.array(order)), []
         at, flat = (np.frombuffer(v, t) for v, t in zip(codes.buffers()[1:], ("<i4", "<i2")))
         borders = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
@@ -170,6 +174,8 @@ def verified_links(links: DataFrame, named: DataFrame, cosine: float) -> DataFra
     """(a, b) of links(a, b, sure) that are sure, or whose vectors, in named(gid, vector), have the cosine."""
     links = cut(links, "links")
     doubt = small(links.filter("not sure").select("a", "b").distinct())
+    ends = small(doubt.select(F.col("a").alias("gid")).union(doubt.select("b")).distinct())
+    named = cut(named.join(ends, "gid"), "doubtful")
     return links.filter("sure").select("a", "b").unionByName(pair_cosines(doubt, named).filter(F.col("cosine") >= cosine).select("a", "b"))
 
 
@@ -335,8 +341,10 @@ def cluster_vectors(vectors: DataFrame, cosine: float = COSINE, smallest: int =
     same = vectors.select("id", "model", F.xxhash64("vector").alias("h"), F.xxhash64("vector", F.lit(1)).alias("g"))
     firsts = same.groupBy("model", "h", "g").agg(F.min("id").alias("first"), F.count("*").alias("weight"))
     copies = cut(same.join(firsts, ["model", "h", "g"]).select("id", "model", "first", "weight"), "copies")
-    vectors = cut(vectors.join(copies.filter("id = first").select("id", "weight"), "id"), "distinct")
-    rows = vectors.count()
+    firsts = copies.filter("id = first").select("id", "weight")
+    rows = firsts.count()
+    tasks = partitions_for(rows, HASHED, vectors.sparkSession)
+    vectors = cut(vectors.repartition(tasks, "id").join(firsts.repartition(tasks, "id"), "id"), "distinct")
     links = proposed_links(cut(minhash_rows(vectors, rows, cosine), "hashed"), rows, cosine)
     groups = cut(connected_components(verified_links(links, vectors.select(F.col("id").alias("gid"), "vector"), cosine)), "groups")
     alone = vectors.filter(F.col("weight") >= smallest).select("id", F.col("id").alias("component")).join(groups, "id", "left_anti")
@@ -345,12 +353,13 @@ def cluster_vectors(vectors: DataFrame, cosine: float = COSINE, smallest: int =
     while True:
         weighed = groups.join(vectors.select("id", "weight"), "id")
         sizes = weighed.groupBy("component").agg(F.sum("weight").alias("n")).filter(F.col("n") >= smallest).select("component")
-        measured = cut(degrees(weighed.join(sizes, "component", "left_semi").join(vectors.select("id", "vector"), "id"), cosine), "degrees")
+        weighed = small(weighed.join(sizes, "component", "left_semi"))
+        measured = cut(degrees(weighed.join(vectors.select("id", "vector"), "id"), cosine), "degrees")
         loose = measured.filter(2 * F.col("degree") < F.col("size") - 1).select("component").distinct()
         tight = measured.join(loose, "component", "left_anti")
         done = tight if done is None else done.unionByName(tight)
-        rest = measured.join(loose, "component", "left_semi")
-        medoids = rest.groupBy("component").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("medoid"))
+        rest = small(measured.join(loose, "component", "left_semi"))
+        medoids = small(rest.groupBy("component").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("medoid")))
         if not medoids.limit(1).count():
             break
         centre = medoids.join(vectors.select(F.col("id").alias("medoid"), F.col("vector").alias("centre")), "medoid")
@@ -362,7 +371,7 @@ def cluster_vectors(vectors: DataFrame, cosine: float = COSINE, smallest: int =
         few = rest.select("id", (2 * F.col("degree") < F.col("size") - 1).alias("few"))
         parts = cut(parts.join(whole, "component").join(few, "id").select("id", "medoid", (F.col("near") & ~(F.col("all_near") & F.col("few"))).alias("in"), "all_near"), "parts")
         inside = parts.filter("in").select("id", F.col("medoid").alias("component"))
-        out = parts.filter("not in").select("id", F.col("medoid").alias("part")).join(vectors.select("id", "vector"), "id")
+        out = small(parts.filter("not in").select("id", F.col("medoid").alias("part"))).join(vectors.select("id", "vector"), "id")
         apart = cut(connected_components(exact_links(out, cosine)), "apart")
         alone = out.join(vectors.select("id", "weight"), "id").filter(F.col("weight") >= smallest).select("id", F.col("id").alias("component")).join(apart, "id", "left_anti")
         groups = cut(inside.unionByName(apart).unionByName(alone), "groups")
