@@ -329,6 +329,26 @@ def test_buckets_are_the_same_at_any_number_of_rows(spark):
     assert np.mean([len(set(few[2 * k]) & set(few[2 * k + 3])) for k in range(298)]) < 0.1
 
 
+@pytest.mark.parametrize("block", [8_000, 150])
+def test_no_size_at_which_results_change(spark, monkeypatch, block):
+    near = [0.74 + d for d in np.linspace(-3e-4, 3e-4, 100)]  # closer to the least cosine than rounded vectors tell
+    x = np.concatenate([pairs_at(near), np.random.default_rng(5).normal(size=(1_000, 96))])
+    monkeypatch.setattr(clusters, "BLOCK", block)
+    monkeypatch.setattr(clusters, "WIDTH", 2)  # crowded buckets
+    df = spark.createDataFrame([("m", i, [float(v) for v in r]) for i, r in enumerate(x)], "model string, id long, vector array<double>")
+    found = {}
+    for exact in (200_000, 0):
+        monkeypatch.setattr(clusters, "EXACT", exact)
+        got = {}
+        for r in clusters.cluster_vectors(df, smallest=2).collect():
+            got.setdefault(r["component"], set()).add(r["id"])
+        found[exact] = sorted(map(sorted, got.values()))
+    assert found[0] == found[200_000]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = [[2 * k, 2 * k + 1] for k in range(100) if x[2 * k] @ x[2 * k + 1] >= 0.74]
+    assert all(g in want for g in found[0]) and len(found[0]) >= 0.95 * len(want)
+
+
 @pytest.mark.parametrize("merged", [400_000, 5])
 def test_components(spark, monkeypatch, merged):
     monkeypatch.setattr(clusters, "MERGED", merged)
