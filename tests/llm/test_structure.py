@@ -349,6 +349,38 @@ def test_no_size_at_which_results_change(spark, monkeypatch, block):
     assert all(g in want for g in found[0]) and len(found[0]) >= 0.95 * len(want)
 
 
+def test_buckets_are_the_same_in_batches_of_any_size(spark):
+    axes = np.random.default_rng((clusters.SEED, 96)).standard_normal((1, 96, clusters.WIDTH), np.float32)[0].T.astype(float)
+    rng, rows = np.random.default_rng(8), []
+    for i in range(300):  # as near to one direction as to another, so that rounding tells which is nearest
+        p, q = axes[rng.choice(clusters.WIDTH, 2, replace=False)]
+        v = p / np.linalg.norm(p) + q / np.linalg.norm(q)
+        v -= v @ (p - q) / ((p - q) @ (p - q)) * (p - q)
+        rows.append(("m", i, [float(e) for e in v]))
+    df = spark.createDataFrame(rows, "model string, id long, vector array<double>")
+    whole, parts = ({r["id"]: tuple(r["buckets"]) for r in clusters.minhash_rows(d, 300, 0.74).collect()} for d in (df.coalesce(1), df.repartition(60, "id")))
+    assert whole == parts
+    steps = clusters.directions(2, 1_536, clusters.WIDTH)
+    assert (steps == np.rint(steps)).all() and clusters.UNIT * np.linalg.norm(steps.astype(float), axis=1).max() < 2**24
+
+
+@pytest.mark.parametrize("block", [8_000, 7, 1])
+def test_pairs_at_the_least_cosine_are_linked_in_blocks_of_any_size(spark, monkeypatch, block):
+    monkeypatch.setattr(clusters, "BLOCK", block)
+    monkeypatch.setattr(clusters, "WIDE", block)
+    monkeypatch.setattr(clusters, "WIDTH", 1)  # one bucket
+    rng, rows = np.random.default_rng(6), []
+    for dim in (300, 600, 700):
+        for _ in range(10):
+            x = np.where(rng.random(dim) < 0.5, 1.0, -1.0)
+            y = x.copy()
+            y[rng.choice(dim, dim * 13 // 100, replace=False)] *= -1
+            rows += [x, y]  # x @ y is 0.74 of dim
+    df = spark.createDataFrame([("m", i, [float(e) for e in v]) for i, v in enumerate(rows)], "model string, id long, vector array<double>")
+    got = {r["id"]: (r["component"], r["size"], r["degree"]) for r in clusters.cluster_vectors(df, smallest=2).collect()}
+    assert got == {i: (i // 2 * 2, 2, 1) for i in range(60)}
+
+
 @pytest.mark.parametrize("merged", [400_000, 5])
 def test_components(spark, monkeypatch, merged):
     monkeypatch.setattr(clusters, "MERGED", merged)

@@ -2,7 +2,8 @@
 
 Every vector gets a number of min-wise hashes for angles: of WIDTH random directions the nearest. Vectors of a model that share
 one are compared, all with all, in blocks. These bands are the same at any size of the table, and their number follows from the
-least cosine: a pair at it shares one with the chance RECALL, a nearer pair more often. As each member of a cluster is linked to
+least cosine: a pair at it shares one with the chance RECALL, a nearer pair more often. Hashes are sums of whole numbers, and a
+cosine of the least one counts, so that no result hangs on how many vectors are multiplied at once. As each member of a cluster is linked to
 half or more of the others, a cluster comes out whole where single links are missed. A block gives forests that connect
 what it found, not pairs; links too near the least cosine to be told from rounded vectors are verified by exact ones.
 The links' connected components are the groups. A group whose members are not mutually similar is split
@@ -35,6 +36,8 @@ BLOCK = 8_000  # vectors of a bucket in a block
 SLOT = 20_000  # vectors of buckets that a task gets at once, about
 HASHED = 4_000  # vectors hashed by one task
 STEPS = 32_767  # of a coordinate of a vector of length 1, while it is compared in buckets
+UNIT = 4_096  # steps of a coordinate, while it is hashed
+TIE = 1e-12  # more than the order of sums, which differs by the size of a block, makes of a cosine
 MERGED = 400_000  # links merged by one task
 WIDE = 8_000  # vectors in a block of vectors
 SEED = 20250202
@@ -56,10 +59,17 @@ def band_count(cosine: float) -> int:
     return math.ceil(math.log(1 - RECALL) / math.log1p(-band_success(cosine, WIDTH)))
 
 
+def directions(bands: int, dim: int, width: int) -> np.ndarray:
+    """Random directions of the bands, in whole numbers so small that single precision holds any sum of their products with a vector in UNIT."""
+    axes = np.random.default_rng((SEED, dim)).standard_normal((bands, dim, width), np.float32)
+    return np.trunc(axes * np.float32(2**24 / 1.001 / UNIT / np.linalg.norm(axes, axis=1).max()))
+
+
 def minhash_rows(vectors: DataFrame, rows: int, cosine: float) -> DataFrame:
     """(id, part, code, buckets): for each vector(id, model, vector) its bucket in each band, and its coordinates in STEPS.
 
-    Parts are the models and lengths. The buckets don't depend on other vectors; `rows` is for the number of tasks only.
+    Parts are the models and lengths. The buckets don't depend on other vectors, nor, by rounding, on how many are hashed at
+    once; `rows` is for the number of tasks only.
     """
     bands = band_count(cosine)
 
@@ -73,9 +83,9 @@ def minhash_rows(vectors: DataFrame, rows: int, cosine: float) -> DataFrame:
                     if dim not in axes:
                         if len(axes) == 8:
                             axes.clear()
-                        axes[dim] = np.random.default_rng((SEED, dim)).standard_normal((bands, dim, WIDTH), np.float32)
-                    narrow = x.astype(np.float32)
-                    buckets = np.stack([(narrow @ axes[dim][k]).argmax(axis=1) + k * WIDTH for k in range(bands)], axis=1).astype(np.int32)
+                        axes[dim] = directions(bands, dim, WIDTH)
+                    steps = np.trunc(x * UNIT).astype(np.float32)
+                    buckets = np.stack([(steps @ axes[dim][k]).argmax(axis=1) + k * WIDTH for k in range(bands)], axis=1).astype(np.int32)
                     code = np.rint(x * STEPS).astype("<i2")
                     parts = pa.array([hash_name(f"{v}:{dim}") for v in batch["model"].to_pylist()], pa.int64())
                     at = pa.array(np.arange(n + 1, dtype=np.int32) * bands)
@@ -336,6 +346,7 @@ def cluster_vectors(vectors: DataFrame, cosine: float = COSINE, smallest: int =
     links (then the smallest id) takes those linked to it (where all are, those with too few links leave),
     and what is left is grouped anew. No vectors give no clusters.
     """
+    cosine -= TIE
     vectors = cut(vectors, "vectors")
     # equal vectors are one record, the one with the smallest id
     same = vectors.select("id", "model", F.xxhash64("vector").alias("h"), F.xxhash64("vector", F.lit(1)).alias("g"))
